@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,21 +81,19 @@ def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen; bounded in size."""
+    """64-bit hashes of words (bytes), kept for the words seen; bounded in size."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
