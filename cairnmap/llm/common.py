@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,23 @@ def fold_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def with_arrow_columns(docs: DataFrame, work: Callable[[pa.Array], list[pa.Array]], added: str) -> DataFrame:
+    """``docs`` with columns made from whole texts, an Arrow batch at a time.
+
+    ``added`` lists them as DDL; like withColumn, they replace columns of the same name.
+    """
+    new = [x.split()[0] for x in added.split(", ")]
+    kept = [f for f in docs.schema if f.name.lower() not in new]
+    at = [f.name for f in kept].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *work(b.column(at))], [*b.schema.names, *new])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, f"{ddl}, {added}")
+
+
 def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and its n + 1 offsets; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import documents, fold_of
+from cairnmap.llm.common import documents, fold_of, with_arrow_columns
 
 BUCKETS = 1 << 14
 MAX_LANGS = 256
@@ -132,16 +132,24 @@ def train(docs: DataFrame) -> Model:
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred, lang_score and ambiguous."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [sent.value.predict(t) for t in b.column("text").to_pylist()]
-            lang, score, ambiguous = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.record_batch([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())], [*names, "lang_pred", "lang_score", "ambiguous"])
+    def work(texts: pa.Array) -> list[pa.Array]:
+        got = [sent.value.predict(t) for t in texts.to_pylist()]
+        lang, score, ambiguous = zip(*got, strict=True) if got else ((), (), ())
+        return [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous, pa.bool_())]
+
+    return with_arrow_columns(docs, work, "lang_pred string, lang_score double, ambiguous boolean")
+
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, lang_pred string, lang_score double, ambiguous boolean")
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``docs`` without texts that have no language or whose language is a toss-up.
+
+    A toss-up is ambiguous and has a score under ``least``.
+    """
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" if n != "text" else n for i, n in enumerate(names)])
+    kept = identified(plain, model).where("lang_pred <> 'und' AND NOT (ambiguous AND lang_score < %r)" % least)
+    return kept.select(*plain.columns).toDF(*names)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

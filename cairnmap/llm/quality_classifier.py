@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import byte_views, documents, fold_of
+from cairnmap.llm.common import byte_views, documents, fold_of, with_arrow_columns
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "word_spread", "longest_word", "unique_words", "unique_pairs", "words_per_line",
@@ -151,16 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **shape) -
 def scored(docs: DataFrame, model: Trees) -> DataFrame:
     """``docs`` with a column score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = sent.value.scores(statistics(b.column("text")))
-            keep = [b.column(n) for n in names if n != "text"]
-            yield pa.record_batch([*keep, pa.array(got, pa.float64())], [*(n for n in names if n != "text"), "score"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{kept}, score double")
+    return with_arrow_columns(docs, lambda texts: [pa.array(sent.value.scores(statistics(texts)), pa.float64())], "score double")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
