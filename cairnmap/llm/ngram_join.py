@@ -11,8 +11,10 @@ two joins, split at a set size chosen by cost from the histogram of sizes:
 * heavy, large sets: inverted lists over a prefix.  Shingles are ordered so that
   frequent ones come last; sets that link share one of their first
   n - ceil(t * n) + 1 shingles.  Lists of up to ``LIGHT_LIST`` sets give all their
-  pairs of fitting sizes; longer ones give a star, and after the first components
-  are known, the pairs of nodes that are still apart.
+  pairs of fitting sizes.  Longer ones are cut into blocks of about ``BLOCK`` sets;
+  in each, the set nearest to the centre is paired with those near it.  Once the
+  components of these links are known, only sets that are still apart are
+  compared: first the nearest pair of each two components, then all that are left.
 
 The order only changes the cost, never the result: frequencies are lower bounds,
 counts of what occurs twice or more in a task, of which at most ``HEAVY_MAX`` are
@@ -47,6 +49,8 @@ WORDS = 5
 LINK = (4, 5)
 HEAVY_MAX, HEAVY_LEAST = 500_000, 8
 LIGHT_LIST = 32
+BLOCK = 4096
+PIVOTS = 8
 SMALL_MAX = 19
 #: Ids of documents whose sets are made again are sent to all executors up to this many, else joined.
 BROADCAST_IDS = 1_000_000
@@ -90,6 +94,12 @@ def least_difference(a: bytes, b: bytes) -> int:
     return (x ^ y).bit_count()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s in range(0, b.num_rows, rows):
+            yield b.slice(s, rows)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document: node, size and (once a task) sketch.  Then shingles found in two sets or more (heavy)."""
     hashes, seen, held, total = WordHashes(), set(), [], 0
@@ -101,7 +111,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = int(some.sum())
         return pa.record_batch([pa.array([True] * n), pa.nulls(n, pa.int64()), pa.array(keys[some].view(np.int64)), pa.array(counts[some], pa.int64()), pa.nulls(n, pa.binary())], names)
 
-    for b in batches:
+    for b in _slices(batches):
         nodes, sizes, sketches = [], [], []
         for raw in b.column(1).to_pylist():
             s = shingles(raw, hashes)
@@ -116,7 +126,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append(s)
                 total += len(s)
         yield pa.record_batch([pa.array([False] * len(nodes)), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names)
-        if total > 8 * _FLUSH:
+        if total > 4 * _FLUSH:
             yield frequent()
             held, total = [], 0
             seen.clear()
@@ -179,7 +189,7 @@ def _postings(heavy: tuple[np.ndarray, np.ndarray], buckets: int, limit: int):
             kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "kind", "keys", "nodes", "sizes", "counts"])
 
-        for b in batches:
+        for b in _slices(batches):
             for raw in b.column(0).to_pylist():
                 s = shingles(raw, hashes)
                 n, m = len(s), mixed(s)
@@ -231,14 +241,9 @@ def _list_pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> list[
         at = start[length == n][:, None]
         left.append((at + i).ravel())
         right.append((at + j).ravel())
-    for s, n in zip(start[length > LIGHT_LIST].tolist(), length[length > LIGHT_LIST].tolist(), strict=True):
-        end, lead = s + n, s
-        while lead < end - 1:  # a star for each range of sizes that fit its smallest
-            stop = lead + int(np.searchsorted(LINK[0] * sizes[lead:end], LINK[1] * sizes[lead], "right"))
-            left.append(np.full(stop - lead - 1, lead))
-            right.append(np.arange(lead + 1, stop))
-            lead = stop
-        out.append((LONG, keys[s:end].view(np.int64), nodes[s:end], sizes[s:end], sizes[s:end]))
+    far = np.repeat(length > LIGHT_LIST, length)
+    if far.any():
+        out.append((LONG, keys[far].view(np.int64), nodes[far], sizes[far], sizes[far]))
     if left:
         i, j = np.concatenate(left), np.concatenate(right)
         ok = _fits(sizes[i], sizes[j])
@@ -289,6 +294,102 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found(held)
 
 
+def _folded(sketch: bytes, size: int) -> bytes:
+    """A sketch of ``size`` bytes at most."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = (int.from_bytes(sketch[:half], "little") ^ int.from_bytes(sketch[half:], "little")).to_bytes(half, "little")
+    return sketch
+
+
+def _near(sizes: np.ndarray, n: int, differ: np.ndarray) -> np.ndarray:
+    """Whether sets whose sketches differ so much can link to one of ``n``."""
+    return (LINK[0] + LINK[1]) * differ <= (LINK[1] - LINK[0]) * (sizes + n)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """Runs of rows whose first ``width`` columns agree."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][:width] != row[:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _pairs(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*((*x,) if x[0] < x[1] else (x[1], x[0], x[3], x[2]) for x in found), strict=True)) or [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["a", "b", "na", "nb"])
+
+
+def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, node, n, sketch): pairs of central sets and those near them."""
+    for group in _groups(batches, 2):
+        nodes, sizes = np.array([x[2] for x in group]), np.array([x[3] for x in group])
+        order = np.lexsort((nodes, sizes))
+        found = []
+        for _ in range(PIVOTS):
+            if len(order) < 2:
+                break
+            stop = int(np.searchsorted(LINK[0] * sizes[order], LINK[1] * sizes[order[0]], "right"))
+            some = order[:stop]
+            width = min(128, len(group[order[0]][4]))
+            bits = np.frombuffer(b"".join(_folded(group[i][4], width) for i in some.tolist()), np.uint8).reshape(len(some), width)
+            flags = np.unpackbits(bits, axis=1).astype(np.float32)
+            pivot = int((flags @ (1 - 2 * flags.mean(0))).argmin())
+            near = _near(sizes[some], int(sizes[some[pivot]]), np.bitwise_count(bits ^ bits[pivot]).sum(1, dtype=np.int64))
+            p = some[pivot]
+            found += [(int(nodes[p]), int(nodes[i]), int(sizes[p]), int(sizes[i])) for i in some[near].tolist() if i != p]
+            near[pivot] = True
+            order = np.concatenate([some[~near], order[stop:]])
+        yield _pairs(found)
+
+
+def _across(every: bool):
+    """Rows (key, i, j, node, n, root, block, sketch): pairs of sets of different roots that may link, all or the nearest of each two roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            i, j = group[0][1:3]
+            group.sort(key=lambda x: (x[4], x[3]))
+            best: dict[tuple[int, int], tuple[int, tuple[int, int, int, int]]] = {}
+            found = []
+            for width in sorted({min(512, len(x[7])) for x in group}):
+                part = [x for x in group if min(512, len(x[7])) in (width, min(512, 2 * width))]
+                nodes, sizes, roots, blocks = (np.array([x[k] for x in part]) for k in (3, 4, 5, 6))
+                bits = np.frombuffer(b"".join(_folded(x[7], width) for x in part), np.uint8).reshape(len(part), width).view(np.uint64)
+                for x in range(len(part)):
+                    if min(512, len(part[x][7])) != width:
+                        continue
+                    stop = int(np.searchsorted(LINK[0] * sizes, LINK[1] * sizes[x], "right"))
+                    other = roots[x + 1 : stop] != roots[x]
+                    if i != j:
+                        other &= blocks[x + 1 : stop] != blocks[x]
+                    at = np.flatnonzero(other) + x + 1
+                    if not len(at):
+                        continue
+                    differ = np.bitwise_count(bits[at] ^ bits[x]).sum(1, dtype=np.int64)
+                    ok = _near(sizes[at], int(sizes[x]), differ)
+                    for y, d in zip(at[ok].tolist(), differ[ok].tolist(), strict=True):
+                        pair = int(nodes[x]), int(nodes[y]), int(sizes[x]), int(sizes[y])
+                        if every:
+                            found.append(pair)
+                            continue
+                        two = min(roots[x], roots[y]), max(roots[x], roots[y])
+                        if two not in best or d < best[two][0]:
+                            best[two] = d, pair
+                    if len(found) > 50_000:
+                        yield _pairs(found)
+                        found = []
+            yield _pairs(found + [x[1] for x in best.values()])
+
+    return run
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops the pairs whose sketches differ too much."""
     for b in batches:
@@ -301,7 +402,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, seen = WordHashes(), set()
-    for b in batches:
+    for b in _slices(batches):
         nodes, sets = [], []
         for raw in b.column(0).to_pylist():
             s = shingles(raw, hashes)
@@ -314,10 +415,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _slices(batches, 500):
         ok = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             ok.append(LINK[1] * both >= LINK[0] * (len(p) + len(q) - both))
         yield pa.record_batch([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
@@ -325,6 +426,7 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that link, as edges (u, v).  ``nodes``: node, rep, sketch."""
+    pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     sketch = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}"))
     close = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded, "a long, b long")
     close = stored(close, "close")
@@ -335,7 +437,31 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     sets = stored(texts.select(F.col("text").cast("binary")).mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
     both = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(_checked, "u long, v long")
+    return stored(both.mapInArrow(_checked, "u long, v long"), "links")
+
+
+def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the links that lists ``long`` (key, node, n) add for components to be complete, and all roots."""
+    counts = long.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    long = long.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    long = stored(long.join(nodes.select("node", "sketch"), "node"), "long")
+    dealt = lambda df, *by: df.repartition(*by).sortWithinPartitions(*by)
+    if not long.isEmpty():
+        rows = dealt(long.select("key", "block", "node", "n", "sketch"), "key", "block")
+        edges = edges.unionAll(_linked(rows.mapInArrow(_canopies, "a long, b long, na int, nb int"), nodes, docs))
+    roots = stored(components(edges), "roots")
+    for every in (False, True):
+        placed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        rows = placed.join(apart, "key", "left_semi").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "root", "block", "sketch")
+        found = stored(dealt(rows, "key", "i", "j").mapInArrow(_across(every), "a long, b long, na int, nb int"), "across")
+        if not found.isEmpty():
+            more = _linked(found, nodes, docs)
+            if not more.isEmpty():
+                edges = edges.unionAll(more)
+                roots = stored(components(edges), "roots")
+    return edges, roots
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -358,23 +484,9 @@ def similar(docs: DataFrame) -> DataFrame:
     found = stored(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, _FOUND), "found")
 
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch", ignorenulls=True).alias("sketch")), "nodes")
-    pair = [F.first("na").alias("na"), F.first("nb").alias("nb")]
-    pairs = found.where(F.col("what") == CANDIDATE).groupBy("a", "b").agg(*pair)
-    edges = _linked(pairs, nodes, docs).unionAll(found.where(F.col("what") == SURE).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    edges = stored(edges, "links")
-    roots = stored(components(edges), "roots")
-
+    edges = _linked(found.where(F.col("what") == CANDIDATE).drop("what"), nodes, docs).unionAll(found.where(F.col("what") == SURE).select(F.col("a").alias("u"), F.col("b").alias("v")))
     long = found.where(F.col("what") == LONG).select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("na").alias("n"))
-    placed = stored(long.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "long")
-    apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    open_ = placed.join(apart, "key", "left_semi")
-    if not open_.isEmpty():
-        other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-        fits = (F.least("na", "nb") * LINK[1] >= F.greatest("na", "nb") * LINK[0]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
-        cross = open_.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("root_a")).join(other, "key").where(fits)
-        more = stored(_linked(cross.groupBy("a", "b").agg(*pair), nodes, docs), "links")
-        if not more.isEmpty():
-            roots = stored(components(edges.unionAll(more)), "roots")
+    _, roots = _long_links(long, edges, nodes, docs)
 
     named = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
