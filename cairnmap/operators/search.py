@@ -20,7 +20,7 @@ def postings(places: DataFrame, fields: list[str], prefix: bool = False) -> Data
     """(id, field, term, tf, length) of ``places`` (id and text fields)."""
     per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     rows = places.select("id", per_field.alias("x")).select("id", "x.field", text.indexed(F.col("x.value")).alias("at")).where(F.size("at") > 0)
-    terms = F.transform("at", lambda forms: F.array_distinct(F.flatten(F.transform(forms, text.edge_ngrams)))) if prefix else F.col("at")
+    terms = F.transform("at", lambda forms: F.array_distinct(F.flatten(F.transform(forms, lambda t: text.edge_ngrams(t))))) if prefix else F.col("at")
     each = rows.select("id", "field", F.size("at").alias("length"), F.explode(F.flatten(terms)).alias("term"))
     return each.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 

@@ -43,6 +43,7 @@ def nearest(points: DataFrame, places: DataFrame, size: int = 10, layers: tuple[
     """
     some = places.where(F.col("layer").isin(*layers)) if layers else places
     meters = geo.haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"), geo.EARTH_M)
-    pairs = some.join(F.broadcast(points)).select("point_id", "id", F.round(meters, 6).alias("meters"))
+    spread = max(places.sparkSession.sparkContext.defaultParallelism, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = some.repartition(spread, "id").join(F.broadcast(points)).select("point_id", "id", F.round(meters, 6).alias("meters"))
     order = Window.partitionBy("point_id").orderBy("meters", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
