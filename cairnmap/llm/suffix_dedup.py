@@ -47,7 +47,7 @@ from cairnmap.llm.suffix_merge import front_coded, merged, shared, shared_rows
 LENGTH, KMER = 100, 40
 SAMPLE, SAMPLE_BITS = 20_000, 12
 _CHUNK_BITS = 18
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _B = 0x9E3779B97F4A7C15
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _STEP = "part int, kind int, doc long, a binary, b binary, c binary, d binary"
@@ -186,8 +186,9 @@ def _postings(length: int, k: int, parts: int):
             text = np.searchsorted(cuts, place, "right") - 1
             held.append((h, docs[text], place - cuts[text]))
             total += len(h)
-            some = np.flatnonzero((h >> np.uint64(64 - SAMPLE_BITS)) == 0)
+            some = np.flatnonzero((h & np.uint64((1 << SAMPLE_BITS) - 1)) == 0)  # bits that anchors weren't chosen by
             keys = keys_at(raw, place[some], cuts[text[some]], cuts[text[some] + 1], length, k)
+            del raw
             yield _rows([_row(i % parts, 2, None, x.tobytes()) for i, x in enumerate(keys)])
             if total > _FLUSH:
                 yield from flush()
@@ -256,7 +257,7 @@ class _Sender:
     def add(self, keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((keys, docs, places))
         self.total += len(keys)
-        if self.total * self.width > 60_000_000:
+        if self.total * self.width > 24_000_000:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -319,8 +320,8 @@ def _suffix_runs(borders: list[bytes], length: int, k: int, parts: int):
             for doc, text, places in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = np.frombuffer(unpack.decompress(text), np.uint8)
                 at = np.unique(np.frombuffer(b"".join(places), "<u4").astype(np.int64))
-                for s in range(0, len(at), 50_000):
-                    some = at[s : s + 50_000]
+                for s in range(0, len(at), 10_000):
+                    some = at[s : s + 10_000]
                     zero = np.zeros(len(some), np.int64)
                     yield from send.add(keys_at(raw, some, zero, zero + len(raw), length, k), zero + doc, some)
         yield from send.flush()
@@ -374,7 +375,9 @@ def _open_offsets(keys: np.ndarray, lcp: np.ndarray, below: int, above: int, len
     """(class, offset) of the strings that classes may share: those that start ``offset`` before the anchor.
 
     ``lcp`` is between neighbours; ``below`` and ``above`` are what the first and
-    the last key share with the borders of the range.
+    the last key share with the borders of the range.  A string that starts
+    ``offset`` before needs another class with as much in common before the anchor
+    and the rest from it on.
     """
     n = len(keys)
     edge = np.concatenate([[below], lcp[1:], [above]])
@@ -384,8 +387,21 @@ def _open_offsets(keys: np.ndarray, lcp: np.ndarray, below: int, above: int, len
     low, high = edge[start], edge[np.append(start[1:], n)]
     outer = np.maximum(np.where(low < length, low, 0), np.where(high < length, high, 0))[group]
     inner = np.maximum(edge[:-1], edge[1:]) - length  # less than 0: nobody has the same suffix
+    # what is shared before the anchor with some class of the same k-mer: neighbours when those are sorted by it
+    family = np.cumsum(np.concatenate([[True], lcp[1:] < k])) - 1
+    left = keys[:, length:-2]
+    words = np.zeros((n, -(-left.shape[1] // 8) * 8), np.uint8)
+    words[:, : left.shape[1]] = left
+    order = np.lexsort((*words.view(">u8").T[::-1], family))
+    common = shared_rows(left[order])
+    common[np.concatenate([[True], family[order][1:] != family[order][:-1]])] = 0
+    before = np.zeros(n, np.int64)
+    before[order] = np.maximum(common, np.append(common[1:], 0))
+    for cut, edge_family in ((below, family[0]), (above, family[-1])):
+        if cut >= k:  # the border may part a family
+            before[family == edge_family] = length - k
     offset = np.arange(length - k + 1)
-    may = (offset <= inner[:, None]) | ((offset >= length - outer[:, None]) & (outer[:, None] >= k))
+    may = (offset <= inner[:, None]) | ((offset >= length - outer[:, None]) & (outer[:, None] >= k) & (offset <= before[:, None]))
     right, left = keys[:, -2].astype(np.int64)[:, None], keys[:, -1].astype(np.int64)[:, None]
     may &= (offset <= left) & (offset >= length - right)
     return np.nonzero(may)
@@ -410,8 +426,8 @@ def _merge_suffixes(borders: list[bytes], next_borders: list[bytes], length: int
             below = shared(names[0], borders[part - 1], 0) if part > 0 else 0
             above = shared(names[-1], borders[part], 0) if part < len(borders) else 0
             cls, offset = _open_offsets(keys, lcp, below, above, length, k)
-            for s in range(0, len(cls), 100_000):
-                c, d = cls[s : s + 100_000], offset[s : s + 100_000]
+            for s in range(0, len(cls), 10_000):
+                c, d = cls[s : s + 10_000], offset[s : s + 10_000]
                 steps = np.arange(length)
                 # the string runs from d before the anchor: first the bytes before it, then those from it on
                 source = np.where(steps < d[:, None], length + d[:, None] - 1 - steps, steps - d[:, None])
