@@ -86,6 +86,7 @@ def kd_shards(thin: DataFrame, dims: Sequence[str], n_shards: int, weight: str =
                 .withColumn("shard", F.when(F.col("key") >= F.col("cut"), F.col("right")).otherwise(F.col("shard")))
                 .select(*thin.columns, "shard")
             )
+            out = stored(out, "level")  # keeps plans small
         nodes = {k: v for node, m in nodes.items() for k, v in (((node, m // 2), (node + m // 2, m - m // 2)) if m > 1 else ((node, m),))}
     return out
 
