@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import SPACE_CLASS, documents, pinned, same
+from cairnmap.llm.common import SPACES, documents, pinned, same
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", ""), UPPER, LOWER)
+    bare = F.btrim(line, F.lit(SPACES))
+    # lower() is fast, but only right for A-Z where all is ASCII
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
 def _with_row_key(docs: DataFrame) -> DataFrame:
@@ -52,12 +54,14 @@ def _sorted_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bool, tuple]]:
-    """(hash, whether it starts a document, row) in order."""
-    last, doc = None, ()
+    """(hash, whether it starts a document, row) in order; repeated rows once."""
+    last, doc, before = None, (), None
     for batch in batches:
         for h, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if h == last and row == before:
+                continue
             new = h != last or row[0] != doc
-            last, doc = h, row[0]
+            last, doc, before = h, row[0], row
             yield h, new, tuple(row)
 
 
