@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmap.functions import geo, tags, text
-from cairnmap.operators import search, spatial, tables
+from cairnmap.operators import results, rings, search, spatial, tables
+from cairnmap.sources import files
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -385,13 +386,16 @@ def _(spark, sf_dir):
     return tables.to_import(regions, regions.where("filename = 'F' AND hash = '1'"))
 
 
-@query("road_merge_components", """WITH RECURSIVE w AS (SELECT o_orderkey AS way_id, o_orderpriority AS key, o_custkey % 200 AS f, (o_custkey * 7) % 200 AS l FROM orders WHERE o_orderkey % 50 = 0),
-e AS (SELECT a.way_id AS a, b.way_id AS b FROM w a JOIN w b ON a.key = b.key AND (a.f IN (b.f, b.l) OR a.l IN (b.f, b.l))),
+# each order is a way; up to four in a row share end nodes, and every seventh breaks the row
+@query("road_merge_components", """WITH RECURSIVE w AS (SELECT o_orderkey AS way_id, 'road ' || o_orderkey // 4 % 97 AS key, o_orderkey AS f, CASE WHEN o_orderkey % 4 = 3 OR o_orderkey % 7 = 0 THEN -o_orderkey - 1 ELSE o_orderkey + 1 END AS l FROM orders),
+ends AS (SELECT way_id, key, f AS node FROM w UNION SELECT way_id, key, l FROM w),
+e AS (SELECT DISTINCT a.way_id AS a, b.way_id AS b FROM ends a JOIN ends b USING (key, node)),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT w.way_id, w.key, min(r.b) AS component FROM w JOIN r ON r.a = w.way_id GROUP BY ALL""")
 def _(spark, sf_dir):
-    # one way in fifty orders is a road: the sample defines the road network, which is dense otherwise
-    ways = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
-    return tables.road_components(ways.select(F.col("o_orderkey").alias("way_id"), F.col("o_orderpriority").alias("key"), (F.col("o_custkey") % 200).alias("first"), ((F.col("o_custkey") * 7) % 200).alias("last")))
+    k = F.col("o_orderkey")
+    last = F.when((k % 4 == 3) | (k % 7 == 0), -k - 1).otherwise(k + 1)
+    key = F.concat(F.lit("road "), (F.floor(k / 4) % 97).cast("string"))
+    return tables.road_components(read(spark, sf_dir, "orders").select(k.alias("way_id"), key.alias("key"), k.alias("first"), last.alias("last")))
 
 
 @query("parent_suppression", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 9 > 0 THEN r_name END AS country, CASE WHEN n_nationkey % 9 > 2 THEN n_name END AS region FROM nation JOIN region ON r_regionkey = n_regionkey""")
@@ -401,3 +405,70 @@ def _(spark, sf_dir):
     shown = lambda level, name: F.when(rank(F.lit(level)) > own, F.col(name)).alias(level)
     joined = read(spark, sf_dir, "nation").join(F.broadcast(read(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.select(F.col("n_nationkey").alias("id"), shown("country", "r_name"), shown("region", "n_name"))
+
+
+# --- geometry build and results
+
+
+def _corners(x: Column, y: Column) -> list[Column]:
+    return [F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")) for a, b in ((x, y), (x + 72, y), (x + 72, y + 36), (x, y + 36))]
+
+
+@query("ring_merge", f"SELECT osm_id, 1 AS n_rings, (CASE WHEN osm_id % 4 = 3 THEN 1296 ELSE 2592 END)::DOUBLE AS area FROM ({_NATION})")
+def _(spark, sf_dir):
+    # a rectangle from two ways, the second one backwards; without the second one, what is left is closed to a triangle
+    x, y = _nations(spark, sf_dir), geo.bounds(F.col("ring"))
+    at = _corners(y["min_x"], y["min_y"])
+    parts = F.array(F.struct(F.lit(0).alias("way"), F.array(*at[:3]).alias("line")), F.struct(F.lit(1).alias("way"), F.array(at[0], at[3], at[2]).alias("line")))
+    ways = x.select("osm_id", F.explode(parts).alias("w")).select("osm_id", "w.*").where("way = 0 OR osm_id % 4 <> 3").withColumn("id", F.col("osm_id") * 2 + F.col("way"))
+    members = ways.select(F.col("osm_id").alias("rel_id"), F.col("way").alias("pos"), F.lit("way").alias("type"), F.col("id").alias("ref"), F.lit("outer").alias("role"))
+    area = F.aggregate(F.transform("rings", lambda r: F.abs(geo.signed_area(r))), F.lit(0.0), lambda a, v: a + v)
+    return rings.relation_rings(members, ways.select("id", "line")).select(F.col("rel_id").alias("osm_id"), F.size("rings").alias("n_rings"), F.round(area, 6).alias("area"))
+
+
+@query("way_lines", """SELECT o_orderkey AS id, list_count(list_filter([c_custkey, c2, c3], lambda v: v IS NOT NULL))::INTEGER AS n_points FROM (
+SELECT o_orderkey, a.c_custkey, b.c_custkey AS c2, c.c_custkey AS c3 FROM orders LEFT JOIN customer a ON a.c_custkey = o_custkey LEFT JOIN customer b ON b.c_custkey = o_custkey + 700 LEFT JOIN customer c ON c.c_custkey = o_custkey * 2) WHERE c_custkey IS NOT NULL OR c2 IS NOT NULL OR c3 IS NOT NULL""")
+def _(spark, sf_dir):
+    nodes = F.array("o_custkey", F.col("o_custkey") + 700, F.col("o_custkey") * 2)
+    ways = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), nodes.alias("nodes"))
+    points = _points(spark, sf_dir).select("id", F.col("x").alias("lon"), F.col("y").alias("lat"))
+    return rings.way_lines(ways, points).select("id", F.size("line").alias("n_points"))
+
+
+def _result_sql(version: int) -> str:
+    more = ", CASE WHEN l > 0 AND n_nationkey IS NOT NULL THEN 'default=' || r_name || '|fr=' || 'le ' || r_name END AS country_names" if version == 2 else ""
+    return f"""WITH s AS (SELECT s_suppkey, s_name, s_suppkey % 9 AS l, n_nationkey, n_name, r_name FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey)
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'le ' || s_name ELSE s_name END AS name, CASE WHEN l > 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'le ' || r_name ELSE r_name END END AS country, CASE WHEN l > 2 THEN n_name END AS region{more} FROM s"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, two = F.col("s_suppkey"), lambda c: F.create_map(F.lit("default"), F.col(c), F.lit("fr"), F.concat(F.lit("le "), F.col(c)))
+    nation, none = read(spark, sf_dir, "nation"), F.lit(None).cast("string")
+    places = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
+        key.alias("id"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.get(F.array(*[F.lit(x) for x in tags.ADMIN_LAYERS]), (key % 9).cast("int")).alias("layer"), two("s_name").alias("names"),
+        F.create_map(F.lit("country"), F.concat(F.lit("r"), "n_regionkey"), F.lit("region"), F.concat(F.lit("n"), "n_nationkey")).alias("parents"),
+        *[none.alias(c) for c in ("housenumber", "street", "postcode")], F.array().cast("array<string>").alias("categories"),
+    )
+    plain = F.create_map().cast("map<string,string>")
+    admins = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), two("r_name").alias("names")).unionAll(
+        nation.select(F.concat(F.lit("n"), "n_nationkey"), "n_name", plain)
+    )
+    hits = places.select(F.lit(1).alias("query_id"), "id", F.lit(1.0).alias("score"), F.lit(1).alias("rank"), F.when(F.col("id") % 2 == 0, "fr").otherwise("de").alias("lang"))
+    return results.shaped(hits, places, admins)
+
+
+@query("result_features", _result_sql(1))
+def _(spark, sf_dir):
+    return _results(spark, sf_dir).select("id", "name", "country", "region")
+
+
+@query("result_features_v2", _result_sql(2))
+def _(spark, sf_dir):
+    pairs = F.array_sort(F.transform(F.map_entries("country_names"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return _results(spark, sf_dir).select("id", "name", "country", "region", F.array_join(pairs, "|").alias("country_names"))
+
+
+@query("tag_filter_expressions", "SELECT p_partkey AS id FROM part WHERE p_partkey % 5 = 2 OR (p_partkey % 5 = 4 AND p_partkey % 2 = 0) OR (p_partkey % 5 = 3)")
+def _(spark, sf_dir):
+    asked = ["# roads", "nw/highway=footway,path", "", "nwr/addr:*", "r/place", "n/shop"]
+    return _tagged(spark, sf_dir).where(files.tag_filter(asked, F.lit("node"), F.col("tags"))).select("id")
