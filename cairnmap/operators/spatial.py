@@ -35,15 +35,44 @@ def hierarchy(pairs: DataFrame, levels: dict[str, int]) -> DataFrame:
     return kept.withColumn("_n", first).where("_n = 1").select("id", "level", "osm_id")
 
 
+#: Sides of grid cells in degrees: the whole map, and a quarter of the last each time.
+CELLS = tuple(360 / 4**j for j in range(8))
+#: Beyond this latitude only cells of at least COARSE degrees are used, as narrow ones would be many.
+POLAR, COARSE = 85.0, 5.0
+
+
+def _cell(v, start: float, side):
+    return F.floor((v + start) / side)
+
+
 def nearest(points: DataFrame, places: DataFrame, size: int = 10, layers: tuple[str, ...] = ()) -> DataFrame:
-    """(point_id, id, meters, rank): the nearest places of each point.
+    """(point_id, id, meters, rank): the nearest places of each point, exactly.
 
-    A stated set of points meets all places; the points are sent to the places'
-    tasks, and each task keeps a point's nearest before anything is shuffled.
+    A point takes the smallest grid cell around it that holds ``size`` places; these are at most two sides
+    away, so the places sought are in the cells within two sides of it.  Both steps are equi-joins on cells.
+    Points or places without coordinates have no partner.
     """
-    some = places.where(F.col("layer").isin(*layers)) if layers else places
+    some = (places.where(F.col("layer").isin(*layers)) if layers else places).where("place_lat IS NOT NULL AND place_lon IS NOT NULL")
+    columns = lambda side: round(360 / side)
+    in_cell = lambda j, c, lat, lon: F.struct(F.lit(j).alias("level"), F.pmod(_cell(lon, 180, c), F.lit(columns(c))).alias("cx"), _cell(lat, 90, c).alias("cy"))
+    at = [in_cell(j, c, F.col("place_lat"), F.col("place_lon")) for j, c in enumerate(CELLS)]
+    placed = some.select("id", "place_lat", "place_lon", F.explode(F.array(*at)).alias("c")).select("id", "place_lat", "place_lon", "c.*")
+    full = placed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n")).where((F.col("n") >= size) | (F.col("level") == 0))
+
+    asked = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("point_id", "lat", "lon")
+    own = [F.when((F.abs("lat") <= POLAR) | F.lit(c >= COARSE), in_cell(j, c, F.col("lat"), F.col("lon"))) for j, c in enumerate(CELLS)]
+    tried = asked.select("point_id", "lat", "lon", F.explode(F.array_compact(F.array(*own))).alias("c")).select("point_id", "lat", "lon", "c.*")
+    taken = tried.join(full, ["level", "cx", "cy"]).groupBy("point_id", "lat", "lon").agg(F.max("level").alias("level"))
+
+    side = F.get(F.array(*[F.lit(c) for c in CELLS]), F.col("level"))
+    reach = 2 * side + 1e-6
+    wide = F.when(F.abs("lat") + reach >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.sin(F.radians(reach)) / F.cos(F.radians("lat")), F.lit(1.0)))) + 1e-6)
+    n = F.round(360 / side).cast("long")
+    first = _cell(F.col("lon") - wide, 180, side)
+    across = F.sequence(first, F.least(_cell(F.col("lon") + wide, 180, side), first + n - 1))
+    up = F.sequence(_cell(F.greatest(F.col("lat") - reach, F.lit(-90.0)), 90, side), _cell(F.least(F.col("lat") + reach, F.lit(90.0)), 90, side))
+    around = taken.withColumn("cy", F.explode(up)).withColumn("cx", F.explode(F.transform(across, lambda x: F.pmod(x, n))))
     meters = geo.haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"), geo.EARTH_M)
-    spread = max(places.sparkSession.sparkContext.defaultParallelism, int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = some.repartition(spread, "id").join(F.broadcast(points)).select("point_id", "id", F.round(meters, 6).alias("meters"))
+    pairs = around.join(placed, ["level", "cx", "cy"]).select("point_id", "id", F.round(meters, 6).alias("meters"))
     order = Window.partitionBy("point_id").orderBy("meters", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)

@@ -2,12 +2,14 @@
 
 import gzip
 import json
+import math
+import random
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairnmap.operators import results, rings
+from cairnmap.operators import results, rings, spatial
 from cairnmap.sources import files
 from cairnmap.streaming import upserts
 
@@ -70,3 +72,25 @@ def test_stream(spark, tmp_path):
         assert query.awaitTermination(60)
     got = {tuple(r) for r in upserts.current(spark, out, ["id"], ["seq"]).collect()}
     assert got == {(1, 0, "d"), (2, 1, "c"), (3, 1, "e")}
+
+
+@pytest.mark.parametrize("size", [1, 5, 400])
+def test_nearest(spark, size):
+    rng = random.Random(7)
+    spots = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(100)] + [(47 + rng.gauss(0, 0.05), 8 + rng.gauss(0, 0.05)) for _ in range(100)]
+    spots += [(90 - rng.random() * 4, rng.uniform(-180, 180)) for _ in range(30)] + [(rng.uniform(-1, 1), rng.choice((-1, 1)) * (180 - rng.random())) for _ in range(30)] + [(1.0, 180.0), (1.0, -180.0), (-90.0, 0.0)]
+    asked = [(47.0, 8.0), (89.9, 10.0), (0.0, 179.9), (0.0, -180.0), (-90.0, 5.0), (10.0, 10.0), (86.0, -179.0), (84.9, 179.5)]
+
+    def km(a, b):
+        (y, x), (v, u) = (tuple(map(math.radians, p)) for p in (a, b))
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin((u - x) / 2) ** 2
+        return round(2 * 6371008.7714 * math.atan2(math.sqrt(h), math.sqrt(max(0, 1 - h))), 3)
+
+    want = [[d for d, _ in sorted((km(a, s), i) for i, s in enumerate(spots))[:size]] for a in asked]
+    places = spark.createDataFrame([(i, *s, "x") for i, s in enumerate(spots)], "id int, place_lat double, place_lon double, layer string")
+    points = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "point_id int, lat double, lon double")
+    got = [[] for _ in asked]
+    for r in spatial.nearest(points, places, size).orderBy("point_id", "rank").collect():
+        got[r["point_id"]].append(round(r["meters"], 3))
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert all(abs(a - b) < 0.002 for g, w in zip(got, want, strict=True) for a, b in zip(g, w, strict=True))
