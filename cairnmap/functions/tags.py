@@ -23,6 +23,9 @@ PLACE_IMPORTANCE = {
 }
 PATHS, PATH_IMPORTANCE, ROAD_IMPORTANCE = ("path", "cycleway", "footway", "track"), 0.075, 0.1
 BUSY, BUSY_IMPORTANCE, LEAST_IMPORTANCE = ("restaurant", "cafe", "fast_food", "bar", "pub", "marketplace"), 0.05, 0.01
+NAME_KINDS = ("alt_name", "old_name", "official_name", "short_name", "int_name", "nat_name", "reg_name", "loc_name")
+ADDRESS_PARTS = ("housenumber", "street", "postcode", "city")
+CATEGORY_KEYS = ("amenity", "shop", "tourism", "leisure", "cuisine", "building", "historic", "office", "railway", "public_transport", "aeroway", "station")
 VENUE_KEYS = ("amenity", "shop", "tourism", "leisure")
 ISO_KEYS = ("ISO3166-1", "ISO3166-1:alpha2", "ISO3166-1:alpha3")
 
@@ -87,9 +90,27 @@ def valid_language(code: Column) -> Column:
 
 
 def names(tags: Column) -> Column:
-    """language -> name, for the plain name and those in a valid language."""
-    plain = F.map_filter(tags, lambda k, v: (k == "name") | (k.startswith("name:") & valid_language(F.substring_index(k, ":", -1)) & (F.size(F.split(k, ":")) == 2)))
-    return F.transform_keys(plain, lambda k, v: F.when(k == "name", "default").otherwise(F.substring_index(k, ":", -1)))
+    """language -> name: the plain name as default, names in a valid language, and other kinds of names under their own keys."""
+    kind, language = (lambda k: F.substring_index(k, ":", 1)), (lambda k: F.regexp_replace(k, "^[^:]*:", ""))
+    plain = lambda k: ~k.contains(":") & ((k != "name") | ~F.map_contains_key(tags, "name:default"))
+    chosen_ = F.map_filter(tags, lambda k, v: kind(k).isin("name", *NAME_KINDS) & (plain(k) | (k.contains(":") & valid_language(language(k)))))
+    return F.transform_keys(chosen_, lambda k, v: F.when(k == "name", "default").when(k.startswith("name:"), language(k)).otherwise(k))
+
+
+def address(tags: Column) -> Column:
+    """House number, street, postcode and city; null if there is none of them."""
+    parts = [tag(tags, f"addr:{x}").alias(x) for x in ADDRESS_PARTS]
+    return F.when(F.coalesce(*parts).isNotNull(), F.struct(*parts))
+
+
+def categories(tags: Column) -> Column:
+    """``key:value`` of the tags that tell what a place is, by key."""
+    found = F.filter(F.map_entries(tags), lambda e: e["key"].isin(*CATEGORY_KEYS))
+    return F.transform(F.array_sort(found), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+
+
+def wikidata_id(tags: Column) -> Column:
+    return F.coalesce(tag(tags, "wikidata"), tag(tags, "brand:wikidata"))
 
 
 def name_all(parts: Column) -> Column:

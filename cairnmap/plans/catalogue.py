@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmap.functions import geo, tags, text
-from cairnmap.operators import results, rings, search, spatial, tables
+from cairnmap.operators import extract, results, rings, search, spatial, tables
 from cairnmap.sources import files
 
 QUERIES: dict = {}
@@ -472,3 +472,20 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     asked = ["# roads", "nw/highway=footway,path", "", "nwr/addr:*", "r/place", "n/shop"]
     return _tagged(spark, sf_dir).where(files.tag_filter(asked, F.lit("node"), F.col("tags"))).select("id")
+
+
+@query("extract_nodes", """SELECT 'node/' || p_partkey AS source_id, CASE WHEN p_partkey % 5 = 3 THEN 'venue' ELSE 'address' END AS layer, CASE WHEN p_partkey % 5 = 3 THEN p_name ELSE '' END AS name_all,
+CASE WHEN p_partkey % 5 = 2 THEN p_name END AS street, CASE WHEN p_partkey % 5 = 3 THEN 'shop:bakery' ELSE '' END AS categories FROM part WHERE p_partkey % 5 IN (2, 3)""")
+def _(spark, sf_dir):
+    nodes = _tagged(spark, sf_dir).select("id", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), "tags")
+    return extract.from_nodes(nodes, "a.osm").select("source_id", "layer", "name_all", F.col("address.street").alias("street"), F.array_join("categories", "|").alias("categories"))
+
+
+@query("extract_ways", """SELECT 'way/' || p_partkey AS source_id, p_size + 1.0::DOUBLE AS lon, 1.0::DOUBLE AS lat, (p_size + 2)::DOUBLE AS max_lon FROM part WHERE p_partkey % 5 IN (2, 3) AND p_partkey % 2 = 0""")
+def _(spark, sf_dir):
+    x = F.col("p_size").cast("double")
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), F.lit(float(dy)).alias("y"))
+    square = [corner(0, 0), corner(2, 0), corner(2, 2), corner(0, 2)]
+    line = F.when(F.col("p_partkey") % 2 == 0, F.array(*square, square[0])).otherwise(F.array(*square))
+    lines = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), line.alias("line"))
+    return extract.from_ways(_tagged(spark, sf_dir), lines, "a.osm").select("source_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.col("bbox.max_x").alias("max_lon"))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cairnmap.operators import results, rings, spatial
+from cairnmap.operators import extract, results, rings, spatial
 from cairnmap.sources import files
 from cairnmap.streaming import upserts
 
@@ -94,3 +94,20 @@ def test_nearest(spark, size):
         got[r["point_id"]].append(round(r["meters"], 3))
     assert [len(x) for x in got] == [len(x) for x in want]
     assert all(abs(a - b) < 0.002 for g, w in zip(got, want, strict=True) for a, b in zip(g, w, strict=True))
+
+
+def test_extract(spark):
+    square = "cast(array(struct({0}, 0), struct({1}, 0), struct({1}, 2), struct({0}, 2), struct({0}, 0)) AS array<struct<x:double,y:double>>)".format
+    ring, far = square(0, 2), square(10, 12)
+    relations = spark.sql("""SELECT * FROM VALUES (1L, map('place', 'country', 'name', 'A')), (2L, map('place', 'island', 'name', 'B', 'old_name:de', 'X', 'name:default', 'C', 'wikidata', 'Q1')),
+        (3L, map('place', 'country', 'type', 'boundary', 'boundary', 'administrative', 'ISO3166-1', 'DE', 'alt_name', 'D')), (4L, map('shop', 'x')) AS t(id, tags)""")
+    shapes = spark.sql(f"SELECT explode(array(1L, 2L, 3L, 4L)) AS rel_id, array({ring}, {far}) AS rings")
+    got = {r["source_id"]: r for r in extract.from_relations(relations, shapes, "a.osm").collect()}
+    assert sorted(got) == ["relation/2", "relation/3"]
+    two = got["relation/2"]
+    assert (two["names"], two["phrase"], two["name_all"], two["wikidata_id"]) == ({"default": "C", "old_name:de": "X"}, "C", "C X", "Q1")
+    assert (two["lon"], two["lat"], two["bbox"]["max_x"], two["layer"]) == (6.0, 1.0, 12.0, "admin")
+    assert got["relation/3"]["names"] == {"alt_name": "D"}
+    ways = spark.sql("SELECT * FROM VALUES (1L, map('shop', 'x', 'name', 'A')), (2L, map('shop', 'x', 'name', 'A', 'border_type', 'y')), (3L, map('place', 'city', 'name', 'A')) AS t(id, tags)")
+    lines = spark.sql(f"SELECT explode(array(1L, 2L, 3L)) AS id, {ring} AS line")
+    assert [r["source_id"] for r in extract.from_ways(ways, lines, "a.osm").collect()] == ["way/1"]
