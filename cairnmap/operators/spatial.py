@@ -35,8 +35,8 @@ def hierarchy(pairs: DataFrame, levels: dict[str, int]) -> DataFrame:
     return kept.withColumn("_n", first).where("_n = 1").select("id", "level", "osm_id")
 
 
-#: Sides of grid cells in degrees: the whole map, and a quarter of the last each time.
-CELLS = tuple(360 / 4**j for j in range(8))
+#: Sides of grid cells in degrees: the whole map, and half of the last each time.
+CELLS = tuple(360 / 2**j for j in range(15))
 #: Beyond this latitude only cells of at least COARSE degrees are used, as narrow ones would be many.
 POLAR, COARSE = 85.0, 5.0
 
