@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairnmap.functions import geo
 from cairnmap.functions.storage import ensure_checkpoints
 
 
@@ -48,3 +49,18 @@ def road_components(ways: DataFrame) -> DataFrame:
         if after.agg(F.sum("component")).first() == label.agg(F.sum("component")).first():
             return after.select("way_id", "key", "component")
         label = after
+
+
+def merged_roads(components: DataFrame, lines: DataFrame) -> DataFrame:
+    """One row per road: key, component, n_ways, its middle (weighted by length) and its box.
+
+    ``components``: way_id, key, component; ``lines``: id, line.  Sums only, so a long road is never gathered; a road
+    without a line is left out.
+    """
+    line = F.col("line")
+    each = components.join(lines.select(F.col("id").alias("way_id"), "line"), "way_id", "left").select(
+        "key", "component", geo.line_length(line).alias("w"), geo.line_centroid(line).alias("c"), geo.bounds(line).alias("b")
+    )
+    middle = [F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("c")[x]), F.sum("w")), F.avg(F.col("c")[x])).alias(x) for x in "xy"]
+    box = [f(F.col("b")[n]).alias(n) for n, f in (("min_x", F.min), ("min_y", F.min), ("max_x", F.max), ("max_y", F.max))]
+    return each.groupBy("key", "component").agg(F.count("*").alias("n_ways"), *middle, *box).where("x IS NOT NULL")

@@ -398,6 +398,14 @@ def _(spark, sf_dir):
     return tables.road_components(read(spark, sf_dir, "orders").select(k.alias("way_id"), key.alias("key"), k.alias("first"), last.alias("last")))
 
 
+@query("road_merge_places", f"SELECT component, count(*) AS n_ways, round(avg(way_id) + 1, 6) AS x, max(way_id) + 2.0::DOUBLE AS max_x FROM ({SQL['road_merge_components']}) GROUP BY key, component")
+def _(spark, sf_dir):
+    x = F.col("o_orderkey").cast("double")
+    line = F.array(*[F.struct((x + d).alias("x"), F.lit(0.0).alias("y")) for d in (0, 2)])
+    roads = tables.merged_roads(QUERIES["road_merge_components"](spark, sf_dir), read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), line.alias("line")))
+    return roads.select("component", "n_ways", F.round("x", 6).alias("x"), "max_x")
+
+
 @query("parent_suppression", """SELECT n_nationkey AS id, CASE WHEN n_nationkey % 9 > 0 THEN r_name END AS country, CASE WHEN n_nationkey % 9 > 2 THEN n_name END AS region FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def _(spark, sf_dir):
     rank = lambda c: tags.chosen(c, tags.LAYER_RANKS)
