@@ -109,7 +109,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
         some = counts > 1
         n = int(some.sum())
-        return pa.record_batch([pa.array([True] * n), pa.nulls(n, pa.int64()), pa.array(keys[some].view(np.int64)), pa.array(counts[some], pa.int64()), pa.nulls(n, pa.binary())], names)
+        return pa.record_batch([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(keys[some].view(np.int64)), pa.array(counts[some], pa.int64()), pa.nulls(n, pa.binary())], names)
 
     for b in _slices(batches):
         nodes, sizes, sketches = [], [], []
@@ -125,7 +125,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketches[-1] = odd_sketch(m)
                 held.append(s)
                 total += len(s)
-        yield pa.record_batch([pa.array([False] * len(nodes)), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names)
+        yield pa.record_batch([pa.array([False] * len(nodes), pa.bool_()), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names)
         if total > 4 * _FLUSH:
             yield frequent()
             held, total = [], 0
