@@ -41,6 +41,17 @@ def polygon_centroid(ring: Column) -> Column:
     return F.struct(*[F.when(F.abs(area) > 0, part(c)).otherwise(mean(c)).alias(c) for c in "xy"])
 
 
+def multi_area(rings: Column) -> Column:
+    return _sum(rings, lambda r: F.abs(signed_area(r)))
+
+
+def multi_centroid(rings: Column) -> Column:
+    """Middles of the rings weighted by area; that of the first if they have none."""
+    total = multi_area(rings)
+    mean = lambda c: _sum(rings, lambda r: F.abs(signed_area(r)) * polygon_centroid(r)[c]) / total
+    return F.struct(*[F.when(total > 0, mean(c)).otherwise(polygon_centroid(rings[0])[c]).alias(c) for c in "xy"])
+
+
 def line_length(line: Column) -> Column:
     return _sum(edges(line), lambda e: F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]))
 

@@ -11,14 +11,15 @@ from cairnmap.functions import geo, tags
 BORDER_KEYS = ("border_type", "left:country", "right:country")
 
 
-def _places(objects: DataFrame, kind: str, source_file: str) -> DataFrame:
-    """``objects``: id, lon, lat, bbox, tags, layer.  Those with a name or an address, described by their tags."""
+def _places(objects: DataFrame, kind: str, source_file: str, note: Column | None = None) -> DataFrame:
+    """``objects``: id, lon, lat, bbox, tags, layer.  Those with a name or an address, described by their tags; ``note``: categories that come first."""
     t = F.col("tags")
     known = objects.withColumns({"names": tags.names(t), "address": tags.address(t)}).where((F.size("names") > 0) | F.col("address").isNotNull())
+    kinds = tags.categories(t) if note is None else F.concat(note, tags.categories(t))
     return known.select(
         F.concat(F.lit(f"{kind}/"), "id").alias("source_id"), F.lit(source_file).alias("source_file"), F.lit(kind).alias("osm_type"), F.col("id").alias("osm_id"),
         "layer", tags.importance(t).alias("importance"), tags.wikidata_id(t).alias("wikidata_id"), "names", F.try_element_at("names", F.lit("default")).alias("phrase"),
-        tags.name_all(F.map_values("names")).alias("name_all"), "address", tags.categories(t).alias("categories"),
+        tags.name_all(F.map_values("names")).alias("name_all"), "address", kinds.alias("categories"),
         tags.clamped(F.col("lon"), -180.0, 180.0).alias("lon"), tags.clamped(F.col("lat"), -90.0, 90.0).alias("lat"), "bbox",
     )
 
@@ -51,8 +52,20 @@ def from_relations(relations: DataFrame, shapes: DataFrame, source_file: str) ->
     is_state = (tags.tag(t, "type") == "boundary") & (tags.tag(t, "boundary") == "administrative") & tags.has_any(t, tags.ISO_KEYS)
     wanted = _layered(relations.select("id", "tags")).where((F.col("layer") != "country") | F.coalesce(is_state, F.lit(False)))
     shaped = wanted.join(shapes.select(F.col("rel_id").alias("id"), "rings"), "id")
-    parts = F.transform("rings", lambda r: F.struct(F.abs(geo.signed_area(r)).alias("w"), geo.polygon_centroid(r).alias("c")))
-    total = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["w"])
-    mean = lambda c: F.when(total > 0, F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["w"] * p["c"][c]) / total).otherwise(F.col("parts")[0]["c"][c])
-    middle = shaped.withColumn("parts", parts).withColumns({"lon": mean("x"), "lat": mean("y"), "bbox": geo.bounds(F.flatten("rings"))})
+    middle = shaped.withColumn("at", geo.multi_centroid(F.col("rings"))).withColumns({"lon": F.col("at.x"), "lat": F.col("at.y"), "bbox": geo.bounds(F.flatten("rings"))})
     return _places(middle, "relation", source_file)
+
+
+def road_ways(ways: DataFrame) -> DataFrame:
+    """(way_id, key, first, last) of named roads: the key is the name and kind of road, first and last are end nodes."""
+    key = F.concat(tags.tag(F.col("tags"), "name"), F.lit("|"), tags.tag(F.col("tags"), "highway"))
+    ends = {"first": F.get("nodes", F.lit(0)), "last": F.try_element_at("nodes", F.lit(-1))}
+    return ways.where(tags.is_road(F.col("tags")) & (F.size("nodes") > 0)).select(F.col("id").alias("way_id"), key.alias("key"), *[c.alias(n) for n, c in ends.items()])
+
+
+def from_roads(roads: DataFrame, ways: DataFrame, source_file: str) -> DataFrame:
+    """``roads`` as ``tables.merged_roads`` gives them, named and tagged like their way of least id (``ways``: id, tags)."""
+    box = F.struct("min_x", "min_y", "max_x", "max_y")
+    found = roads.select(F.col("component").alias("id"), "n_ways", F.col("x").alias("lon"), F.col("y").alias("lat"), box.alias("bbox"), F.lit("street").alias("layer")).join(ways.select("id", "tags"), "id")
+    note = F.array_compact(F.array(F.when(F.col("n_ways") > 1, F.concat(F.lit("merged_ways:"), "n_ways"))))
+    return _places(found, "way", source_file, note)
