@@ -25,8 +25,11 @@ def postings(places: DataFrame, fields: list[str], prefix: bool = False) -> Data
     return each.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def search(queries: DataFrame, places: DataFrame, fields: list[str], size: int = 10, prefix: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): ``queries`` has query_id and text, ``places`` id, importance and the fields."""
+def search(queries: DataFrame, places: DataFrame, fields: list[str], size: int = 10, prefix: bool = False, boxed: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): ``queries`` has query_id and text, ``places`` id, importance and the fields.
+
+    ``boxed``: queries have a box (null: anywhere), places lon and lat; only places in the box are ranked.
+    """
     index = postings(places, fields, prefix)
     total = places.agg(F.count("*").alias("n_places"), F.exp(F.avg(F.when(F.col("importance") > 0, F.ln("importance")))).alias("pivot"))
     lengths = index.select("id", "field", "length").distinct().groupBy("field").agg(F.avg("length").alias("mean_length"))
@@ -39,7 +42,10 @@ def search(queries: DataFrame, places: DataFrame, fields: list[str], size: int =
     worth = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     best = hits.groupBy("query_id", "id", "pos").agg(F.max(worth).alias("s"), F.first("pivot").alias("pivot"))
     found = best.groupBy("query_id", "id").agg(F.count("*").alias("got"), F.sum("s").alias("s"), F.first("pivot").alias("pivot"))
-    whole = found.join(need, "query_id").where("got = positions").join(places.select("id", "importance"), "id")
+    whole = found.join(need, "query_id").where("got = positions").join(places.select("id", "importance", *(("lon", "lat") if boxed else ())), "id")
+    if boxed:
+        here = F.col("box").isNull() | in_box(F.col("lon"), F.col("lat"), F.col("box"))
+        whole = whole.join(queries.select("query_id", "box"), "query_id").where(here)
     score = F.col("s") + F.coalesce(IMPORTANCE_BOOST * F.col("importance") / (F.col("importance") + F.col("pivot")), F.lit(0.0))
     scored = whole.select("query_id", "id", F.round(score, 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
