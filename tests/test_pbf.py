@@ -80,6 +80,7 @@ def test_partitions(spark, file):
 
 
 def test_broken_file(spark, tmp_path):
+    pbf.register(spark)
     (tmp_path / "b.pbf").write_bytes(b"\0\0\0\x02\x0a\x00")
     with pytest.raises(Exception, match="KeyError"):
         spark.read.format("osm_pbf").load(str(tmp_path / "b.pbf")).count()
