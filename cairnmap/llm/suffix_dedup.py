@@ -385,7 +385,8 @@ def _open_offsets(keys: np.ndarray, lcp: np.ndarray, below: int, above: int, len
     group = np.cumsum(new) - 1
     start = np.flatnonzero(new)
     low, high = edge[start], edge[np.append(start[1:], n)]
-    outer = np.maximum(np.where(low < length, low, 0), np.where(high < length, high, 0))[group]
+    # a border inside a group hides the next one, which may share all but a byte
+    outer = np.minimum(np.maximum(low, high), length - 1)[group]
     inner = np.maximum(edge[:-1], edge[1:]) - length  # less than 0: nobody has the same suffix
     # what is shared before the anchor with some class of the same k-mer: neighbours when those are sorted by it
     family = np.cumsum(np.concatenate([[True], lcp[1:] < k])) - 1

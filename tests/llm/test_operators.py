@@ -141,6 +141,26 @@ def test_suffix_dedup(spark, rows, docs, empty, length, k):
     assert suffix_dedup.dedup_substrings(empty, length, k).count() == 0
 
 
+def test_suffix_dedup_of_groups_over_range_borders(spark, monkeypatch):
+    keys = np.full((2, 162), 97, np.uint8)
+    keys[:, -2], keys[:, -1], keys[1, 100] = 100, 60, 98
+    key, offset = suffix_dedup._open_offsets(keys, np.array([0, 100]), 162, 0, 100, 40)
+    assert all(set(range(1, 61)) <= set(offset[key == i].tolist()) for i in range(2))
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_BITS", 0)  # ranges are cut within groups
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lefts, hot, tail = [text(12) for _ in range(200)], text(60), text(30)
+    data = [(2 * i, text(9) + x + hot + text(9)) for i, x in enumerate(lefts)]
+    data += [(2 * i + 1, text(9) + x + hot[:12] + tail + text(9)) for i, x in enumerate(lefts)]
+    want = brute_substrings(data, 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        got = suffix_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 20, 8).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in got} == want
+
+
 def test_merge_knows_prefixes():
     rng = random.Random(3)
     for _ in range(100):
