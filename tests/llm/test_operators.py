@@ -88,6 +88,43 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.clean(docs, benchmark).columns == docs.columns
 
 
+def found(items, texts, **limits):
+    b = decontamination.block(list(enumerate(items)), limits.get("width", 8), limits.get("shortest", 5))
+    return {(t, i): v for t, i, *v in decontamination.matches([decontamination._lines(x) for x in texts], b, decontamination.Canon(), 0.5)}
+
+
+def test_decontamination_of_names_that_begin_sentences():
+    renamed = "Tom sold 48 clips in April. Anna sold half as many clips in May.", "Ben sold 62 clips in June. Lucy sold half as many clips in July."
+    got = found(renamed[:1], [renamed[1], "so " + renamed[1], renamed[1].replace("Ben", "Ben Lee")])
+    assert min(got[t, 0][1] for t in range(3)) > 0.9 and got[0, 0][2] == 4  # the first window has 3 literal words
+    assert set(found(["Who wrote the long book about whales"], ["see Who wrote the long book about whales", "tell me who wrote the long book about whales"])) == {(0, 0), (1, 0)}
+    assert not found(renamed[:1], ["Ben ate 62 clips at June. Lucy ate half of these clips on July."])
+
+
+def test_window_readings_match_every_choice():
+    import itertools
+
+    rng, canon = random.Random(8), decontamination.Canon()
+    for _ in range(30):
+        text = " ".join(rng.choice(["the", "cup's", "Tom", "Lee", "5", "kg", "7kg", "walks", "So."]) + rng.choice(["", "", "", ".", ","]) for _ in range(9))
+        c = decontamination.canonical([decontamination._lines(text)], canon)
+        r = c.words(canon, 0)
+        want = set()
+        for start in range(len(r.words)):
+            for path in itertools.product(range(3), repeat=4):
+                at, literal = start, 0
+                for way in path:
+                    if at >= len(r.words) or (way == 1 and not r.free[at]) or (way == 2 and r.ends[at] <= at + 1):
+                        break
+                    literal += way == 0 and r.kinds[at] == decontamination.LITERAL
+                    at = r.ends[at] if way == 2 else at + 1
+                else:
+                    if literal >= 2:
+                        want.add((start, sum(w * 3**i for i, w in enumerate(path))))
+        place, _, path = decontamination.window_keys(c, 4)
+        assert sorted(zip(place.tolist(), path.tolist())) == sorted(want)
+
+
 def test_quality_classifier_learns(spark, docs, empty):
     good = [(i, words(random.Random(i), 60), 1) for i in range(200)]
     bad = [(i, " ".join(w.upper() + "!!" for w in words(random.Random(i), 60).split()), 0) for i in range(200, 400)]
