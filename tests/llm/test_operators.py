@@ -101,6 +101,18 @@ def test_decontamination_of_names_that_begin_sentences():
     assert not found(renamed[:1], ["Ben ate 62 clips at June. Lucy ate half of these clips on July."])
 
 
+def test_decontamination_unites_shifted_pieces():
+    item = "the farmer brought some eggs to the old market and sold half of them before noon then gave the rest to his poor neighbour"
+    shifted = item.replace("old market", "old town market").replace("then gave", "then kindly gave")
+    far = item.split()
+    apart = " ".join(far[:9]) + " x" * 40 + " " + " ".join(far[9:17]) + " y" * 40 + " " + " ".join(far[17:])
+    got = found([item], ["see " + shifted + " end", apart, item + " " + shifted])
+    assert set(got) == {(0, 0), (2, 0)} and got[0, 0][1] > 0.6 and got[2, 0][1] == 1
+    measure = "mix 5 kg of flour and 2 cups of cold water then bake it for an hour"
+    got = found([measure], ["mix 7kg of flour and 3cups of cold water then bake it for an hour"])
+    assert got[0, 0][1] > 0.9 and got[0, 0][2] == 2
+
+
 def test_window_readings_match_every_choice():
     import itertools
 
