@@ -113,6 +113,12 @@ def test_decontamination_unites_shifted_pieces():
     assert got[0, 0][1] > 0.9 and got[0, 0][2] == 2
 
 
+def test_decontamination_of_verbatim_placeholders_and_short_items():
+    items = ["What is 17 * 23 + 4 ?", "Convert 5 kg", "On 3 May 1921 Tom Lee paid 5 dollars to Ann Bell and 7 dollars to Max Hill"]
+    got = found(items, ["he asked: What is 17 * 23 + 4 ? and left", "now convert 5 kg to", items[2].lower(), "What is 18 * 23 + 4 ?", "Convert 6 kg"])
+    assert {k for k, v in got.items() if v[1] == 1} == set(got) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_window_readings_match_every_choice():
     import itertools
 
