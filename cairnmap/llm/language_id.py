@@ -14,7 +14,7 @@ ambiguity.
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 with nothing learned every text is ``und``; equal losses go to the first language
 by code point; rows that repeat get equal results; an empty table gives an empty
-result.  At most ``MAX_LANGS`` languages, those with most trigrams, are learned.
+result.  All languages are learned: the driver holds 16384 counts of each.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from cairnmap.llm.common import documents, fold_of, with_arrow_columns
 
 BUCKETS = 1 << 14
-MAX_LANGS = 256
 GAP = 0.2
 _LETTER = re.compile(r"[^\W\d_]")
 _ONLY_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -121,11 +120,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> Model:
     """Learn from all rows of ``docs`` (text, lang) that have a language."""
     sums = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
-    by_lang = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = by_lang.groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bucket", "n")).alias("c")).orderBy(F.desc("all"), "lang").limit(MAX_LANGS)
+    found = sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    named = found.column("lang").combine_chunks().dictionary_encode()
+    lang, bucket, n = (x.to_numpy(zero_copy_only=False) for x in (named.indices, found.column("bucket").combine_chunks(), found.column("n").combine_chunks()))
+    order = np.argsort(lang, kind="stable")
+    cut = np.searchsorted(lang[order], np.arange(len(named.dictionary) + 1))
     counts = {}
-    for r in packed.collect():
-        counts[r["lang"]] = np.bincount([x["bucket"] for x in r["c"]], [x["n"] for x in r["c"]], minlength=BUCKETS)
+    for i, name in enumerate(named.dictionary.to_pylist()):
+        at = order[cut[i] : cut[i + 1]]
+        counts[name] = np.bincount(bucket[at], n[at], minlength=BUCKETS)
     return fit(counts)
 
 

@@ -171,6 +171,14 @@ def test_language_id(spark, docs, empty):
     assert len({tuple(x) for x in code}) == 12 and (np.abs(code.sum(0)) < 12).all()
 
 
+def test_language_id_learns_every_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(f"{i:03}", " ".join((letters[i % 26] + letters[i // 26]) * 3 for _ in range(300 - i))) for i in range(300)]
+    model = language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    want = language_id.fit({x: language_id.trigram_counts(t) for x, t in rows})
+    assert model.langs == [x for x, _ in rows] and np.array_equal(model.weights, want.weights)
+
+
 def brute_substrings(rows, length):
     seen, out = set(), {}
     for d, t in sorted(rows):
