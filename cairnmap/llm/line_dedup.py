@@ -1,20 +1,23 @@
 """Line dedup by range-partitioned hashes.
 
-Every line becomes (hash of its key, document, position), range-partitioned by
-hash and document and sorted within.  A task streams its rows in order and holds
-at most the rows of one hash's first ``min_docs`` documents.  A frequent hash may
-span several tasks; each task reports the hashes at its two ends with their
-document counts, and the sums of those (two rows a task at most) tell which of
-the cut hashes are frequent and which task has the first occurrence.  Text never
-moves with the lines: what comes back is one compressed keep bitmap for each
-document that loses a line.
+Every document becomes one row per distinct line: (hash of its key, document, the
+positions that hold it).  These rows are written once, range-partitioned by hash
+and document and sorted within.  A task streams its rows in order and holds at
+most the rows of one hash's first ``min_docs`` documents.  A frequent hash may
+span several tasks, a document's rows of a hash never do; each task reports the
+hashes at its two ends with their document counts, and the sums of those (two
+rows a task at most) tell which of the cut hashes are frequent and which task has
+the first occurrence.  Text never moves with the lines: what comes back is one
+compressed keep bitmap for each document that loses a line.
 
 Hashes are MD5 of the key.  A document is its id; rows that repeat an id with
-other text are told apart by a hash of the text.
+other text are told apart by a hash of the text, and count as one document.
 
 Defined results: null or empty text is one empty line; empty keys are never
 dropped; a null id is one document; repeated rows get equal results; an empty
-table gives an empty result.
+table gives an empty result; a very long text is one row of positions per
+distinct line; with ``keep_first`` the line kept is that of the least id (null
+first), then of the least hash of the text, then the first in the text.
 """
 
 from __future__ import annotations
@@ -26,18 +29,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import SPACES, documents, pinned, same
+from cairnmap.llm.common import SPACES, byte_views, documents, pinned, same, stored
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SPACES = SPACES.encode()
+_LINES = "hash binary, doc_id long, row_key long, n_lines int, at binary"
+_GONE = "doc_id long, row_key long, n_lines int, at binary"
+_BATCH = 20_000
 
 
-def line_key(line: Column) -> Column:
-    bare = F.btrim(line, F.lit(SPACES))
-    # lower() is fast, but only right for A-Z where all is ASCII
-    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+def line_key(line: bytes) -> bytes:
+    """UTF-8 of a line without the spaces around it, A-Z lowered."""
+    return line.strip(_SPACES).lower()
 
 
 def _with_row_key(docs: DataFrame) -> DataFrame:
@@ -45,71 +50,128 @@ def _with_row_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text")).withColumn("row_key", F.xxhash64("text"))
 
 
+def _line_rows(min_chars: int):
+    """A row per document and distinct key; rows that repeat in a task count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = set(), []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*held, strict=True)) or [()] * 5
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "doc_id", "row_key", "n_lines", "at"])
+
+        for b in batches:
+            for doc, text, row in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                if (doc, row) in seen:
+                    continue
+                seen.add((doc, row))
+                lines = text.as_py().split(b"\n")
+                places: dict[bytes, list[int]] = {}
+                for i, line in enumerate(lines):
+                    places.setdefault(line_key(line), []).append(i)
+                for key, at in places.items():
+                    if len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars):
+                        held.append((hashlib.md5(key).digest(), doc, row, len(lines), np.array(at, "<u4").tobytes()))
+                if len(held) >= _BATCH:
+                    yield batch()
+                    held.clear()
+        yield batch()
+
+    return run
+
+
 def _sorted_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    lines = docs.withColumn("lines", F.split("text", "\n", -1)).select("doc_id", "row_key", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
-    keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    rows = keyed.select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"), "doc_id", "row_key", "pos", "n_lines")
-    order = ["hash", "doc_id", "row_key"]
-    return pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order, "pos"))
+    texts = docs.select("doc_id", F.col("text").cast("binary"), "row_key")
+    rows = stored(texts.mapInArrow(_line_rows(min_chars), _LINES), "lines")  # the borders of ranges are sampled from these
+    return pinned(rows.repartitionByRange("hash", "doc_id").sortWithinPartitions("hash", "doc_id", "row_key"))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bool, tuple]]:
-    """(hash, whether it starts a document, row) in order; repeated rows once."""
-    last, doc, before = None, (), None
-    for batch in batches:
-        for h, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if h == last and row == before:
-                continue
-            new = h != last or row[0] != doc
-            last, doc, before = h, row[0], row
-            yield h, new, tuple(row)
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches without repeated rows, and which rows start a hash and which a document of a hash."""
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        hashes = byte_views(b.column(0))[0].reshape(-1, 16).view(np.uint64)
+        nil = b.column(1).is_null().to_numpy(zero_copy_only=False)
+        docs, rows = (b.column(i).fill_null(0).to_numpy() for i in (1, 2))
+        ends = hashes[-1].tolist(), nil[-1], docs[-1], rows[-1]
+        first = before is None or hashes[0].tolist() != before[0]
+        first_doc = first or (nil[0], docs[0]) != before[1:3]
+        new = np.concatenate([[first], (hashes[1:] != hashes[:-1]).any(1)])
+        new_doc = np.concatenate([[first_doc], (docs[1:] != docs[:-1]) | (nil[1:] != nil[:-1])]) | new
+        fresh = np.concatenate([[first_doc or rows[0] != before[3]], rows[1:] != rows[:-1]]) | new_doc
+        before = ends
+        if not fresh.all():
+            b, new, new_doc = b.filter(pa.array(fresh)), new[fresh], new_doc[fresh]
+        if b.num_rows:
+            yield b, new, new_doc
+
+
+def _edges(new: np.ndarray) -> np.ndarray:
+    """Where the runs of one hash in a batch begin, and its end."""
+    cuts = np.flatnonzero(new)
+    return np.concatenate([[0], cuts[cuts > 0], [len(new)]])
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first = last = None
-    counts = {}
-    for h, new, _ in _runs(batches):
-        if h != last:
-            if last is not None and last != first:
-                counts.pop(last, None)
-            first, last = h if first is None else first, h
-        counts[h] = counts.get(h, 0) + new
-    at = TaskContext.get().partitionId()
-    keys = list(counts)
-    yield pa.record_batch([pa.array(keys, pa.binary()), pa.array([counts[k] for k in keys], pa.int64()), pa.array([at] * len(keys), pa.int32())], ["hash", "n", "part"])
+    ends: list[list] = []  # hash and documents of the first and the last run
+    for b, new, new_doc in _starts(batches):
+        edges = _edges(new)
+        for g in sorted({0, len(edges) - 2}):
+            s, e = int(edges[g]), int(edges[g + 1])
+            n = int(new_doc[s:e].sum())
+            if new[s]:
+                del ends[1:]
+                ends.append([b.column(0)[s].as_py(), n])
+            else:
+                ends[-1][1] += n
+    part = [TaskContext.get().partitionId()] * len(ends)
+    yield pa.record_batch([pa.array([x[0] for x in ends], pa.binary()), pa.array([x[1] for x in ends], pa.int64()), pa.array(part, pa.int32())], ["hash", "n", "part"])
+
+
+def _without_first(part: pa.RecordBatch) -> list[pa.RecordBatch]:
+    """All but the first position of the first row."""
+    row = part.slice(0, 1)
+    left = row.column("at")[0].as_py()[4:]
+    kept = [pa.record_batch([*row.columns[:3], pa.array([left], pa.binary())], row.schema.names)] if left else []
+    return pa.Table.from_batches([*kept, part.slice(1)], part.schema).combine_chunks().to_batches()
 
 
 def _drops(min_docs: int, keep_first: bool, cut: dict[bytes, int]):
     """``cut``: the frequent hashes that more than one task may hold, and the first of those tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, out = TaskContext.get().partitionId(), []
-        current, held, docs, frequent = None, [], 0, False
-
-        def batch() -> pa.RecordBatch:
-            d, k, p, n = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-            return pa.record_batch([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(p, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "row_key", "pos", "n_lines"])
-
-        for h, new, row in _runs(batches):
-            if h != current:
-                current, held, docs, frequent = h, [], 0, h in cut
-                spare = keep_first and cut.get(h, at) == at
-            docs += new
-            if not frequent:
-                held.append(row)
-                if docs < min_docs:
+        at = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        out: list[pa.RecordBatch] = []
+        docs, frequent, spare = 0, False, False
+        for b, new, new_doc in _starts(batches):
+            edges = _edges(new)
+            counts = np.add.reduceat(new_doc.astype(np.int64), edges[:-1])
+            rows = b.select(["doc_id", "row_key", "n_lines", "at"])
+            # runs inside a batch are whole; the first and the last may go on
+            for g in sorted({0, len(counts) - 1, *np.flatnonzero(counts >= min_docs).tolist()}):
+                s, e = int(edges[g]), int(edges[g + 1])
+                if new[s]:
+                    name = b.column(0)[s].as_py()
+                    held, docs, frequent = [], 0, name in cut
+                    spare = keep_first and cut.get(name, at) == at
+                docs += int(counts[g])
+                held.append(rows.slice(s, e - s))
+                if not frequent and docs < min_docs:
                     continue
-                frequent, row = True, None
-                out += held[1:] if spare else held
-                held, spare = [], False
-            elif spare:
-                spare = False
-            else:
-                out.append(row)
-            if len(out) >= 20_000:
-                yield batch()
-                out.clear()
-        yield batch()
+                frequent = True
+                if spare:
+                    held[:1], spare = _without_first(held[0]), False
+                out += held
+                held = []
+            if sum(x.num_rows for x in out) >= _BATCH:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                out = []
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
     return run
 
@@ -119,7 +181,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = []
         for n, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
             keep = np.ones(n, bool)
-            keep[gone] = False
+            keep[np.frombuffer(b"".join(gone), "<u4")] = False
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
         yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(maps, pa.binary())], ["doc_id", "row_key", "n_lines", "keep"])
 
@@ -131,11 +193,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_f
     loses all its lines, or all but the first with ``keep_first``.
     """
     rows = _sorted_lines(_with_row_key(docs), min_chars)
-    ends = rows.select("hash", "doc_id").mapInArrow(_ends, "hash binary, n long, part int")
+    ends = rows.select("hash", "doc_id", "row_key").mapInArrow(_ends, "hash binary, n long, part int")
     cut = ends.groupBy("hash").agg(F.sum("n").alias("n"), F.min("part").alias("part")).where(F.col("n") >= min_docs)
     at = {bytes(r["hash"]): r["part"] for r in cut.collect()}
-    gone = rows.mapInArrow(_drops(min_docs, keep_first, at), "doc_id long, row_key long, pos int, n_lines int")
-    by_doc = gone.groupBy("doc_id", "row_key").agg(F.first("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
+    gone = rows.mapInArrow(_drops(min_docs, keep_first, at), _GONE)
+    by_doc = gone.groupBy("doc_id", "row_key").agg(F.first("n_lines").alias("n_lines"), F.collect_list("at").alias("gone"))
     return by_doc.mapInArrow(_bitmaps, "doc_id long, row_key long, n_lines int, keep binary")
 
 

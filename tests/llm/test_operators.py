@@ -264,6 +264,33 @@ def test_line_dedup(rows, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_line_dedup_of_repeated_ids(spark, parts):
+    rng = random.Random(parts)
+    data = [(d, f"same\nof {i % 7}\nown {d} {i}\nSAME " + "x" * (i % 3)) for d in [*range(9), None] for i in range(60)]
+    data += [(d, f"nine {d}\n same") for d in range(5)] * 2 + [(100 + i, "in ten\nin ten") for i in range(10)]
+    rng.shuffle(data)
+    key = lambda x: x.strip(" ").lower()
+    homes = defaultdict(set)
+    for d, t in data:
+        for x in t.split("\n"):
+            homes[key(x)].add(d)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+        for least in (10, 11):
+            gone = {k for k, v in homes.items() if k and len(v) >= least}
+            want = Counter((d, "\n".join(x for x in t.split("\n") if key(x) not in gone), sum(key(x) in gone for x in t.split("\n"))) for d, t in data)
+            got = line_dedup.dedup_lines(table, min_docs=least).collect()
+            assert Counter((r.doc_id, r.text, r.n_dropped) for r in got) == want
+        kept = line_dedup.dedup_lines(table.distinct(), min_docs=10, keep_first=True).collect()
+        assert Counter(key(x) for r in kept for x in r.text.split("\n") if len(homes[key(x)]) >= 10) == Counter({k: 1 for k, v in homes.items() if len(v) >= 10})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_mixing(spark, docs, rows, empty):
     sized = docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("size"))
     goals = {r.source: r for r in mixing.source_targets(sized).collect()}
