@@ -14,13 +14,16 @@ gives the documents back.
 
 Defined results: null and empty texts are a separator alone; strings that spell a
 special token are ordinary text; a null id stays null; repeated rows are packed
-each for itself; an empty table gives no rows.
+each for itself; an empty table gives no rows.  A very long text, of one long run
+of white space too, is encoded whole and split into rows; it costs its task memory
+in proportion to its length.  Pieces of equal length are packed in input order.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +38,41 @@ SEPARATOR = 50256
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE vocabularies of this family cut text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: what \\s means in that pattern.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are encoded apart; the pattern's engine gives up on runs of a million.
+LONG_RUN = 100_000
 SCHEMA = "pack_id string, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
 
 class Tokenizer:
-    """Byte-level BPE from a file of ranks."""
+    """Byte-level BPE from a file of ranks.
 
-    def __init__(self, ranks: bytes):
+    The pattern cuts a text before each run of white space, and makes one word of
+    the run, but for its last character where something follows.  Runs of
+    ``long_run`` or more are cut there, which changes no id, and their words are
+    encoded without the pattern.
+    """
+
+    def __init__(self, ranks: bytes, long_run: int = LONG_RUN):
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        self.long_run, self.runs = long_run, re.compile(f"[{WHITE}]{{{long_run},}}")
 
     def __call__(self, text: str) -> np.ndarray:
+        if len(text) < self.long_run:
+            return self._ids(text)
+        parts, at = [], 0
+        for run in self.runs.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            if end > run.start():
+                parts += [self._ids(text[at : run.start()]), np.array(self.encoding._encode_single_piece(text[run.start() : end]), np.uint32)]
+                at = end
+        return np.concatenate([*parts, self._ids(text[at:])])
+
+    def _ids(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text, disallowed_special=())
 
 
@@ -151,10 +176,17 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = ROW_TOKENS,
 
 
 def write_matrices(rows: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet: input_ids of a file, read in order, are its id matrix."""
+    """Write packed rows as Parquet files, each of which ``matrices`` turns into arrays."""
     rows.write.option("compression", "zstd").parquet(path)
 
 
+def matrices(file: pa.Table, size: int = ROW_TOKENS, separator: int = SEPARATOR) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The id matrix, the matrix of positions and the cumulative segment lengths of each row of a file of packed rows."""
+    kind = id_type(separator + 1, size)
+    ids, at = (np.frombuffer(b"".join(file.column(c).to_pylist()), kind).reshape(-1, size) for c in ("input_ids", "position_ids"))
+    return ids, at, [np.array(x, np.int32) for x in file.column("cu_seqlens").to_pylist()]
+
+
 def unpacked(rows: DataFrame, separator: int = SEPARATOR, size: int = ROW_TOKENS) -> DataFrame:
     """doc_id and ids of each document, joined again from its pieces."""
     kind = id_type(separator + 1, size)

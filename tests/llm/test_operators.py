@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from cairnmap.llm import decontamination, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
@@ -53,6 +54,37 @@ def test_packing_round_trip(docs, rows):
     assert {r.doc_id: r.ids for r in got if r.doc_id not in repeated} == {d: x for d, x in want.items() if d not in repeated}
 
 
+def test_packing_of_very_long_runs(spark, tmp_path):
+    encode = packing.Tokenizer(open(packing.TOKENIZER, "rb").read())
+    n = 10_000_000
+    texts = [" " * n, "so" + " \n" * (n // 2) + "then " + " " * 1_100_000, "a" * n, "!" * n, "ab c " * 400_000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    path = f"{tmp_path}/packed"
+    packing.write_matrices(packing.packed(table), path)
+    parts = defaultdict(dict)
+    for file in sorted(tmp_path.glob("packed/*.parquet")):
+        rows = pq.read_table(file)
+        ids, at, cuts = packing.matrices(rows)
+        assert ids.shape == at.shape == (rows.num_rows, packing.ROW_TOKENS)
+        for x, y, c, docs, numbers in zip(ids, at, cuts, rows.column("doc_ids").to_pylist(), rows.column("pieces").to_pylist()):
+            assert (x[c[-1] :] == packing.SEPARATOR).all()
+            for s, e, d, k in zip(c, c[1:], docs, numbers):
+                parts[d][k] = x[s:e]
+                assert y[s] == 0 and y[e - 1] == e - s - 1
+    for d, t in enumerate(texts):
+        whole = np.concatenate([parts[d][k] for k in range(len(parts[d]))])
+        assert whole[-1] == packing.SEPARATOR and encode.encoding.decode_bytes(whole[:-1].tolist()) == t.encode()
+
+
+def test_long_runs_change_no_id():
+    rng, ranks = random.Random(1), open(packing.TOKENIZER, "rb").read()
+    for long_run in (1, 2, 3, 50):
+        encode = packing.Tokenizer(ranks, long_run)
+        for _ in range(500):
+            text = "".join(rng.choice([" ", "\n", "\t ", "\u3000", "\x1c", "\x85", "a", "Tom", "12", "!?", "'s", "é"]) * rng.choice([1, 1, 2, 7, 60]) for _ in range(rng.randint(0, 12)))
+            assert np.array_equal(encode(text), encode._ids(text))
+
+
 def test_best_fit_matches_search():
     rng = random.Random(1)
     for _ in range(50):
