@@ -14,7 +14,8 @@ ambiguity.
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 with nothing learned every text is ``und``; equal losses go to the first language
 by code point; rows that repeat get equal results; an empty table gives an empty
-result.  All languages are learned: the driver holds 16384 counts of each.
+result; very long texts are counted whole.  A letter is a character of a Unicode
+category of letters.  All languages are learned: the driver holds 16384 counts of each.
 """
 
 from __future__ import annotations
@@ -33,18 +34,21 @@ from cairnmap.llm.common import documents, fold_of, with_arrow_columns
 
 BUCKETS = 1 << 14
 GAP = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 _ONLY_LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a category of letters; fractions, superscripts and Roman numerals aren't."""
+    return any(m[0].isalpha() for m in _WORD_CHARACTER.finditer(text))
+
+
 def trigram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed trigrams, or None if there is no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not has_letter(text):
         return None
     raw = b" " + b" ".join(text.lower().encode().translate(_ONLY_LETTERS).split()) + b" "
     x = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    if len(x) < 3:
-        return None
     with np.errstate(over="ignore"):
         h = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761) >> np.uint32(18)
     return np.bincount(h, minlength=BUCKETS)

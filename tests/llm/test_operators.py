@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with odd rows."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -203,6 +204,44 @@ def test_language_id(spark, docs, empty):
     assert len({tuple(x) for x in code}) == 12 and (np.abs(code.sum(0)) < 12).all()
 
 
+def test_language_of_texts_without_letters():
+    model = language_id.fit({"aa": language_id.trigram_counts("the thing"), "bb": language_id.trigram_counts("der und")})
+    for text in ("½ ½ ½ ½", "2²", "① ②", "Ⅷ", "_", "__ 12", "€ % \u0301", "", None):
+        assert model.predict(text)[:2] == ("und", 0.0)
+    for text in ("½a", "中", "é", "_ß", "x" * 3_000_000, "½" * 100_000 + "thing"):
+        assert model.predict(text)[0] in ("aa", "bb")
+
+
+@pytest.mark.parametrize("n", [3, 12])
+def test_language_decoding_matches_plain_loops(n):
+    rng = random.Random(n)
+    names = [f"l{i:02}" for i in range(n)]
+    counts = {x: np.array([rng.choice([0, 0, 1, 5]) for _ in range(language_id.BUCKETS)]) for x in names}
+    model, size = language_id.fit(counts), language_id.BUCKETS
+    p = {x: [(c + 0.5) / (sum(counts[x].tolist()) + 0.5 * size) for c in counts[x].tolist()] for x in names}
+    bits = model.code.shape[1]
+    up = [[x for x, row in zip(names, model.code) if row[b] > 0] for b in range(bits)]
+    assert all(0 < len(u) < n for u in up)
+    weight = [[math.log(sum(p[x][h] for x in u) / len(u) + 1e-12) - math.log(sum(p[x][h] for x in names if x not in u) / (n - len(u)) + 1e-12) for h in range(size)] for u in up]
+    expected = {x: [sum(a * w for a, w in zip(p[x], weight[b])) for b in range(bits)] for x in names}
+    scale = [max(sum(abs(expected[x][b]) for x in names) / n, 1e-9) for b in range(bits)]
+    for _ in range(5):
+        text = " ".join(rng.choice("abcdefgé") * rng.randint(1, 4) + rng.choice("xyz") for _ in range(8))
+        found = language_id.trigram_counts(text)
+        z = [sum(c * weight[b][h] for h, c in enumerate(found.tolist()) if c) / found.sum() / scale[b] for b in range(bits)]
+        loss = []
+        for i, x in enumerate(names):
+            tells = [max(model.code[i][b] * expected[x][b], 0) for b in range(bits)]
+            loss.append(sum(t / sum(tells) * math.exp(-min(3, max(-3, model.code[i][b] * z[b]))) for b, t in enumerate(tells)))
+        assert model.losses(found) == pytest.approx(loss)
+        assert model.predict(text)[0] == names[loss.index(min(loss))]
+
+
+def test_language_ties_go_to_the_first_name():
+    counts = language_id.trigram_counts("one and the same")
+    assert language_id.fit({"b": counts, "a": counts}).predict("the same")[0] == "a"
+
+
 def test_language_id_learns_every_language(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     rows = [(f"{i:03}", " ".join((letters[i % 26] + letters[i // 26]) * 3 for _ in range(300 - i))) for i in range(300)]
