@@ -113,7 +113,7 @@ def test_decontamination(spark, docs, empty):
     broken = "Carol bought 99 kg of apples from Dan on Friday and paid 5 euros to Eve for them all"
     benchmark = spark.createDataFrame([(1, question), (2, None), (3, "too short"), (4, "five words are one window")], "item_id long, text string")
     extra = spark.createDataFrame([(1000, "before " + question + " after"), (1001, other), (1002, broken), (1003, "So five words are one window, yes")], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs.select("doc_id", "text").union(extra), benchmark, block_items=2).collect()}
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs.select("doc_id", "text").union(extra), benchmark).collect()}
     assert set(got) == {(1000, 1), (1001, 1), (1002, 1), (1003, 4)}
     assert got[1000, 1].n_changed == 0 and got[1000, 1].coverage > 0.9 and got[1001, 1].n_changed == 6
     assert got[1002, 1].coverage < got[1001, 1].coverage
@@ -176,6 +176,83 @@ def test_window_readings_match_every_choice():
         assert sorted(zip(place.tolist(), path.tolist())) == sorted(want)
 
 
+def test_decontamination_of_shared_wording(spark):
+    rng = random.Random(5)
+    line = "read the whole passage below with care and then choose the one best answer to the last question given here"
+    own = [" ".join(rng.choice("abcdefgh") * rng.randint(2, 5) for _ in range(9)) for _ in range(400)]
+    items = [(i, f"{line} {x}") for i, x in enumerate(own)] + [(1000, f"{line} {own[7]}"), (1001, "how much is 2 plus 5"), (1002, "how much is 3 plus 8"), (1003, "3 4 5 6 7 8"), (1004, "What is 12 + 7 * 3 - 4 / 2 + 9")]
+    texts = [f"doc {i} {line} and nothing else of it" for i in range(100)]
+    texts += [f"so {line} {own[7]}", f"see {own[30]} there", "he asked how much is 3 plus 8 then", "so how much is 9 plus 4 then", "1 2 3 4 5 6 7 8 9", "it says What is 12 + 7 * 3 - 4 / 2 + 9 or so"]
+    texts += [line + " " + " and ".join(own)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    one = {(100, 7), (102, 1002), (102, 1001), (103, 1001), (104, 1003), (105, 1004)}
+    assert {x for x in got if x[0] != 106} == one  # own[30] alone covers less than half of its item
+    assert {(106, 0)} <= {x for x in got if x[0] == 106} <= {(106, 0), (106, 1)}  # those near the line
+    classes = {r.item_id: (r.same_words, r.same_template) for r in decontamination.item_classes(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert classes[1000] == (7, 7) and classes[1002] == (1002, 1001)
+
+
+def brute_found(items, texts, width, coverage):
+    """Pairs by comparing every window of every text with every window of every item, where no window is in many items."""
+    out, canon = {}, decontamination.Canon()
+    for t, text in enumerate(texts):
+        mine = decontamination.canonical([decontamination._lines(text)], canon)
+        r = mine.words(canon, 0)
+        for i, item in enumerate(items):
+            his = decontamination.canonical([decontamination._lines(item)], canon)
+            q = his.words(canon, 0)
+            diagonals = defaultdict(list)
+            n = min(width, len(q.words))
+            for a in range(len(q.words) - n + 1):
+                for p in range(len(r.words) - n + 1):
+                    if q.words[a : a + n] == r.words[p : p + n]:
+                        diagonals[p - a].append((a, 0, p, 0, n, True))
+                    kinds = q.kinds[a : a + n]
+                    if len(q.words) >= 5 and kinds == r.kinds[p : p + n] and 2 * kinds.count(0) >= n and all(k or x == y for k, x, y in zip(kinds, q.words[a : a + n], r.words[p : p + n])):
+                        diagonals[p - a].append((a, 0, p, 0, n, False))
+            best = max((decontamination._consistent(q, decontamination._aligned(q, r, h))[0] for h in decontamination._places(diagonals, max(1, len(q.words) // 2))), default=0)
+            if best and best / len(q.words) >= coverage:
+                out[t, i] = best / len(q.words)
+    return out
+
+
+def test_decontamination_matches_all_pairs(spark):
+    # words with one reading only: no capitals, no units
+    rng = random.Random(11)
+    word = lambda: rng.choice(["the", "stone", "river", "cold", "walks", "over", "12", "7", "305", "it"])
+    items = [" ".join(word() for _ in range(rng.choice([2, 4, 6, 9, 15, 30]))) for _ in range(30)]
+    texts = []
+    for _ in range(60):
+        parts = [word() for _ in range(rng.randint(0, 10))]
+        item = rng.choice(items).split()
+        start = rng.randint(0, len(item) // 2)
+        parts += [rng.choice(["99", w]) if w.isdigit() else (word() if rng.random() < 0.05 else w) for w in item[start:]]
+        texts.append(" ".join(parts + [word() for _ in range(rng.randint(0, 10))]))
+    texts += items + ["", texts[0] * 2, texts[3]]
+    first = {}
+    for i, x in enumerate(items):
+        first.setdefault(x, i)
+    template = lambda x: " ".join("#" if w.isdigit() else w for w in x.split())
+    stands = {}
+    for i, x in enumerate(items):
+        stands.setdefault(template(x), i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), width=6).collect()}
+    want = brute_found(items, texts, 6, 0.5)
+    held = lambda i: stands[template(items[i])] == i or any(items[i] in x for x in texts)
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert {k for k in want if first[items[k[1]]] == k[1] and held(k[1]) and stands[template(items[k[1]])] == k[1]} <= set(got)
+
+
+def test_clean_decides_by_row(spark):
+    item = "one two three four five six seven eight nine ten"
+    data = [(1, "so " + item, "x"), (1, "nothing here", "y"), (None, item, "x"), (None, "nothing", "y"), (2, None, "x"), (1, "nothing here", "z")]
+    kept = decontamination.clean(spark.createDataFrame(data, "doc_id long, text string, row_key string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "row_key"]
+    assert Counter(map(tuple, kept.collect())) == Counter([data[1], data[3], data[4], data[5]])
+
+
 def test_quality_classifier_learns(spark, docs, empty):
     good = [(i, words(random.Random(i), 60), 1) for i in range(200)]
     bad = [(i, " ".join(w.upper() + "!!" for w in words(random.Random(i), 60).split()), 0) for i in range(200, 400)]
