@@ -11,14 +11,17 @@ two joins, split at a set size chosen by cost from the histogram of sizes:
 * heavy, large sets: inverted lists over a prefix.  Shingles are ordered so that
   frequent ones come last; sets that link share one of their first
   n - ceil(t * n) + 1 shingles.  Lists of up to ``LIGHT_LIST`` sets give all their
-  pairs of fitting sizes.  Longer ones are cut into blocks of about ``BLOCK`` sets;
-  in each, the set nearest to the centre is paired with those near it.  Once the
-  components of these links are known, only sets that are still apart are
-  compared: first the nearest pair of each two components, then all that are left.
+  pairs of fitting sizes.  Longer ones are split by size: a set is at home in the
+  band of its size and a guest in the next, and no link skips a band.  Bands are cut
+  into blocks of about ``BLOCK`` sets; in each, the set nearest to the centre is
+  paired with those near it.  Once the components of these links are known, only the
+  sets outside the largest component of a band are compared with the band: first the
+  nearest pair of each two components, then all pairs that are still apart.
 
 The order only changes the cost, never the result: frequencies are lower bounds,
 counts of what occurs twice or more in a task, of which at most ``HEAVY_MAX`` are
-sent out.  A candidate pair is first bounded by odd sketches (parity bitmaps; the
+sent out.  Postings are dealt into buckets of about ``BUCKET_POSTINGS``, of which a
+task holds one at a time.  A candidate pair is first bounded by odd sketches (parity bitmaps; the
 bits that differ are at most the shingles that differ), then checked exactly on
 both sets, which are made again from the texts of just those nodes.
 
@@ -27,7 +30,10 @@ Words are compared with A-Z lowered; shingles are 64-bit hashes of five words.
 Defined results: null and empty texts have no shingles and are components of
 their own; texts of fewer than five words are one shingle; rows that repeat an id
 are one component if they link; the component of null ids alone is null; an empty
-table gives an empty result.
+table gives an empty result; a very long text is one set, held by its task.
+``keep_one`` decides by row: of a component the row of least id stays (null last;
+of equal ids the one with the least hash of its text; of repeated rows one), and
+rows without words stay.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmap.llm.common import WordHashes, documents, mixed, same, stored, windows
@@ -52,6 +58,7 @@ LIGHT_LIST = 32
 BLOCK = 4096
 PIVOTS = 8
 SMALL_MAX = 19
+BUCKET_POSTINGS = 2_000_000
 #: Ids of documents whose sets are made again are sent to all executors up to this many, else joined.
 BROADCAST_IDS = 1_000_000
 _FLUSH = 1_000_000
@@ -103,17 +110,17 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document: node, size and (once a task) sketch.  Then shingles found in two sets or more (heavy)."""
     hashes, seen, held, total = WordHashes(), set(), [], 0
-    names = ["heavy", "doc_id", "node", "n", "sketch"]
+    names = ["heavy", "doc_id", "row_key", "node", "n", "sketch"]
 
     def frequent() -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
         some = counts > 1
         n = int(some.sum())
-        return pa.record_batch([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(keys[some].view(np.int64)), pa.array(counts[some], pa.int64()), pa.nulls(n, pa.binary())], names)
+        return pa.record_batch([pa.array([True] * n, pa.bool_()), *[pa.nulls(n, pa.int64())] * 2, pa.array(keys[some].view(np.int64)), pa.array(counts[some], pa.int64()), pa.nulls(n, pa.binary())], names)
 
     for b in _slices(batches):
         nodes, sizes, sketches = [], [], []
-        for raw in b.column(1).to_pylist():
+        for raw in b.column(2).to_pylist():
             s = shingles(raw, hashes)
             m = mixed(s)
             node = node_of(m)
@@ -125,7 +132,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketches[-1] = odd_sketch(m)
                 held.append(s)
                 total += len(s)
-        yield pa.record_batch([pa.array([False] * len(nodes), pa.bool_()), b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names)
+        yield pa.record_batch([pa.array([False] * len(nodes), pa.bool_()), b.column(0), b.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names)
         if total > 4 * _FLUSH:
             yield frequent()
             held, total = [], 0
@@ -159,11 +166,11 @@ def subset_keys(scrambled: np.ndarray) -> tuple[list[int], list[int]]:
 _PACKET = "bucket int, kind int, keys binary, nodes binary, sizes binary, counts binary"
 
 
-def _postings(heavy: tuple[np.ndarray, np.ndarray], buckets: int, limit: int):
+def _postings(sent, buckets: int, limit: int):
     """Packets of postings, one per bucket and kind (0: inverted lists, 1: subsets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank = heavy
+        frequent, rank = sent.value
         hashes, seen = WordHashes(), set()
         held: tuple[list, list] = ([], [])
         total = 0
@@ -350,36 +357,42 @@ def _canopies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(every: bool):
-    """Rows (key, i, j, node, n, root, block, sketch): pairs of sets of different roots that may link, all or the nearest of each two roots."""
+    """Rows (key, i, j, node, n, root, left, sketch): pairs of a set on the left and one on the right, of different roots, that may link.
+
+    All of them, or the nearest of each two roots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            i, j = group[0][1:3]
-            group.sort(key=lambda x: (x[4], x[3]))
+            right = sorted((x for x in group if not x[6]), key=lambda x: (x[4], x[3]))
             best: dict[tuple[int, int], tuple[int, tuple[int, int, int, int]]] = {}
             found = []
-            for width in sorted({min(512, len(x[7])) for x in group}):
-                part = [x for x in group if min(512, len(x[7])) in (width, min(512, 2 * width))]
-                nodes, sizes, roots, blocks = (np.array([x[k] for x in part]) for k in (3, 4, 5, 6))
+            wide = lambda x: min(512, len(x[7]))
+            for width in sorted({wide(x) for x in group}):
+                part = [x for x in right if wide(x) in (width, 2 * width)]
+                if not part:
+                    continue
+                nodes, sizes, roots = (np.array([x[k] for x in part]) for k in (3, 4, 5))
+                least = np.array([wide(x) for x in part]) == width
                 bits = np.frombuffer(b"".join(_folded(x[7], width) for x in part), np.uint8).reshape(len(part), width).view(np.uint64)
-                for x in range(len(part)):
-                    if min(512, len(part[x][7])) != width:
+                for _, _, _, node, n, root, left, sketch in group:
+                    own = min(512, len(sketch))
+                    if not left or own not in (width, 2 * width):
                         continue
-                    stop = int(np.searchsorted(LINK[0] * sizes, LINK[1] * sizes[x], "right"))
-                    other = roots[x + 1 : stop] != roots[x]
-                    if i != j:
-                        other &= blocks[x + 1 : stop] != blocks[x]
-                    at = np.flatnonzero(other) + x + 1
+                    start, stop = np.searchsorted(LINK[1] * sizes, LINK[0] * n, "left"), np.searchsorted(LINK[0] * sizes, LINK[1] * n, "right")
+                    other = (roots[start:stop] != root) & (least[start:stop] | (own == width))
+                    at = np.flatnonzero(other) + start
                     if not len(at):
                         continue
-                    differ = np.bitwise_count(bits[at] ^ bits[x]).sum(1, dtype=np.int64)
-                    ok = _near(sizes[at], int(sizes[x]), differ)
+                    mine = np.frombuffer(_folded(sketch, width), np.uint64)
+                    differ = np.bitwise_count(bits[at] ^ mine).sum(1, dtype=np.int64)
+                    ok = _near(sizes[at], n, differ)
                     for y, d in zip(at[ok].tolist(), differ[ok].tolist(), strict=True):
-                        pair = int(nodes[x]), int(nodes[y]), int(sizes[x]), int(sizes[y])
+                        pair = node, int(nodes[y]), n, int(sizes[y])
                         if every:
                             found.append(pair)
                             continue
-                        two = min(roots[x], roots[y]), max(roots[x], roots[y])
+                        two = min(root, int(roots[y])), max(root, int(roots[y]))
                         if two not in best or d < best[two][0]:
                             best[two] = d, pair
                     if len(found) > 50_000:
@@ -440,11 +453,24 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(_checked, "u long, v long"), "links")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _bands(long: DataFrame) -> DataFrame:
+    """Lists (key, node, n) split by size; lists of guests alone and lists of one set go."""
+    band = F.floor(F.log(F.col("n") * 1.0) / float(np.log(LINK[1] / LINK[0])) + 1e-9)
+    each = long.select("key", "node", "n", F.posexplode(F.array(band, band + 1)).alias("guest", "band"))
+    each = each.select(F.xxhash64("key", "band").alias("key"), "node", "n", "guest")
+    counts = each.groupBy("key").agg(F.count("*").alias("sets"), F.min("guest").alias("guests")).where("guests = 0 AND sets > 1")
+    counts = stored(counts.select("key", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), "lists")
+    return each.join(_sent(counts), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("guest")
+
+
 def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edges`` with the links that lists ``long`` (key, node, n) add for components to be complete, and all roots."""
-    counts = long.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    long = long.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    long = stored(long.join(nodes.select("node", "sketch"), "node"), "long")
+    long = stored(_bands(long).join(nodes.select("node", "sketch"), "node"), "long")
     dealt = lambda df, *by: df.repartition(*by).sortWithinPartitions(*by)
     if not long.isEmpty():
         rows = dealt(long.select("key", "block", "node", "n", "sketch"), "key", "block")
@@ -452,9 +478,15 @@ def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, docs: DataF
     roots = stored(components(edges), "roots")
     for every in (False, True):
         placed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        rows = placed.join(apart, "key", "left_semi").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "node", "n", "root", "block", "sketch")
+        of_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+        lists = of_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
+        lists = stored(lists.select("key", "major", F.ceil(F.col("rest") / BLOCK).cast("int").alias("parts")), "apart")
+        placed = placed.join(_sent(lists), "key")
+        part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+        left = placed.where("root <> major").withColumn("i", part).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.lit(True))
+        right = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.col("block")).withColumn("left", F.lit(False))
+        cols = ["key", "i", "j", "node", "n", "root", "left", "sketch"]
+        rows = left.select(*cols).unionAll(right.select(*cols))
         found = stored(dealt(rows, "key", "i", "j").mapInArrow(_across(every), "a long, b long, na int, nb int"), "across")
         if not found.isEmpty():
             more = _linked(found, nodes, docs)
@@ -464,12 +496,13 @@ def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, docs: DataF
     return edges, roots
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key (a hash of the text), n_shingles, root (null without shingles), component_id of each row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    profile = stored(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_profile, "heavy boolean, doc_id long, node long, n long, sketch binary"), "profile")
-    rows = profile.where("NOT heavy AND n > 0").select("doc_id", "node", "n", "sketch")
+    texts = docs.select("doc_id", row_key(docs).alias("row_key"), F.col("text").cast("binary"))
+    profile = stored(texts.mapInArrow(_profile, "heavy boolean, doc_id long, row_key long, node long, n long, sketch binary"), "profile")
+    rows = profile.where("NOT heavy AND n > 0").select("doc_id", "row_key", "node", "n", "sketch")
     counts = profile.where("heavy").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= HEAVY_LEAST)
     top = counts.orderBy(F.desc("c"), "node").limit(HEAVY_MAX).toArrow()
     frequent = top.column("node").to_numpy().view(np.uint64)
@@ -479,27 +512,56 @@ def similar(docs: DataFrame) -> DataFrame:
     sizes = {int(r["n"]): int(r["c"]) for r in rows.where(F.col("n") <= 2 * SMALL_MAX).groupBy("n").agg(F.count("*").alias("c")).collect()}
     limit = small_limit(sizes)
 
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch", ignorenulls=True).alias("sketch"), F.first("n").alias("n")), "nodes")
+    postings = nodes.agg(F.sum(F.col("n") / LINK[1] + 1)).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = docs.select(F.col("text").cast("binary")).mapInArrow(_postings((frequent[order], rank[order]), 2 * parts, limit), _PACKET)
-    found = stored(postings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, _FOUND), "found")
+    buckets = max(2 * parts, -(-int(postings) // BUCKET_POSTINGS))
+    sent = spark.sparkContext.broadcast((frequent[order], rank[order]))
+    packets = texts.select("text").mapInArrow(_postings(sent, buckets, limit), _PACKET)
+    dealt = packets.repartition(buckets, "bucket") if buckets > 2 * parts else packets.repartition("bucket")
+    found = stored(dealt.sortWithinPartitions("bucket").mapInArrow(_candidates, _FOUND), "found")
 
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sketch", ignorenulls=True).alias("sketch")), "nodes")
     edges = _linked(found.where(F.col("what") == CANDIDATE).drop("what"), nodes, docs).unionAll(found.where(F.col("what") == SURE).select(F.col("a").alias("u"), F.col("b").alias("v")))
     long = found.where(F.col("what") == LONG).select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("na").alias("n"))
     _, roots = _long_links(long, edges, nodes, docs)
 
     named = nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = named.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least"))
-    final = named.join(least, "root", "left").select(F.col("node"), F.coalesce("least", "rep").alias("component_id"))
-    full = rows.select("doc_id", "node", "n").join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = profile.where("NOT heavy AND n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    final = named.join(least, "root", "left").select("node", "root", F.coalesce("least", "rep").alias("component_id"))
+    full = rows.select("doc_id", "row_key", "node", "n").join(final, "node", "left").select("doc_id", "row_key", F.col("n").alias("n_shingles"), "root", "component_id")
+    empty = profile.where("NOT heavy AND n = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     return full.unionAll(empty)
 
 
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
+    return placed(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that link, directly or not, to a document of smaller id."""
-    gone = similar(docs).where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_d"], "left_anti")
+    """``docs`` with one row of each component, and all rows without words."""
+    names = docs.columns
+    docs = docs.toDF(*[n if n in ("doc_id", "text") else f"c{i}" for i, n in enumerate(names)])
+    rows = stored(placed(docs).where("root IS NOT NULL").groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("c")), "rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "row_key")).alias("x")
+    first = rows.groupBy("root").agg(least, F.sum("c").alias("all")).where(F.col("all") > 1).select("root", F.col("x.doc_id").alias("_d"), F.col("x.row_key").alias("_k"))
+    leads = same(F.col("doc_id"), F.col("_d")) & (F.col("row_key") == F.col("_k"))
+    judged = rows.join(first, "root").withColumn("leads", leads).where("NOT leads OR c > 1").select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "leads")
+    judged = stored(judged, "judged")
+    at = lambda some: same(docs["doc_id"], some["_d"]) & (row_key(docs) == some["_k"])
+    some = _sent(judged)
+    kept = docs.join(some, at(some), "left_anti")
+    again = judged.where("leads")
+    if not again.isEmpty():  # repeated rows
+        again = _sent(again)
+        twins = docs.join(again, at(again), "left_semi")
+        one = twins.groupBy("doc_id", row_key(twins).alias("_k")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x"))
+        kept = kept.unionAll(one.select("x.*"))
+    return kept.toDF(*names)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -518,6 +518,33 @@ def test_ngram_join(spark, rows, docs, empty, monkeypatch, light, block):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, (_, c) in brute_links([(r[0], r[1]) for r in rows]).items() if c == d}
 
 
+@pytest.mark.parametrize("block", [4096, 4])
+def test_long_lists_of_sets_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "LIGHT_LIST", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    monkeypatch.setattr(ngram_join, "HEAVY_MAX", 0)  # frequent shingles don't come last
+    rng = random.Random(block)
+    common = [f"c{i}" for i in range(30)]
+    data = []
+    for g in range(12):
+        own = [f"g{g}x{i}" for i in range(rng.choice([6, 10, 30, 90]))]
+        for _ in range(rng.randint(1, 9)):
+            extra = [f"e{rng.random()}" for _ in range(rng.randint(0, 5))]
+            data.append((len(data), " ".join(common + own + extra)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_links(data)
+    assert got == want and len({c for _, c in want.values()}) > 5
+
+
+def test_keep_one_decides_by_row(spark):
+    text = "one two three four five six seven eight nine"
+    data = [(None, text, "a"), (None, text + " ten", "b"), (5, text, "c"), (5, text, "d"), (5, "other words here that stand alone now", "e"), (7, text, "f"), (None, "alone it is but for copies", "g"), (None, "alone it is but for copies", "h")]
+    data += [(None, None, "i"), (None, "", "j"), (1, "", "k"), (1, "", "l")]
+    kept = ngram_join.keep_one(spark.createDataFrame(data, "doc_id long, text string, node string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, text), data[4][:2], data[6][:2], (None, None), (None, ""), (1, ""), (1, "")])
+
+
 def test_quality_rules(rows, docs, empty):
     got = {r.doc_id: r for r in quality_rules.judged(docs).collect()}
     for d, t, *_ in rows:
