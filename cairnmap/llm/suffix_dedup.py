@@ -18,14 +18,16 @@ strings that repeat can be found from anchors whose k-mer repeats.
    ones are repeats but for the first.
 4. Repeats meet their texts again by document.
 
-A hot string costs each later step one key per task.  Ranges come from a sample
+A hot string costs each later step one key per task.  Buckets and ranges hold about
+``PART_BYTES`` of input each, of which a task holds one at a time.  Ranges come from a sample
 of keys (``SAMPLE`` at most), which only affects balance; a key's neighbour over
 the border of a range is replaced by the border itself, which bounds it.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing;
 the order is by id (nulls last), then, among rows that repeat an id, by a hash of
 their text; rows equal in id and text are one document and get equal results; an
-empty table gives an empty result.
+empty table gives an empty result.  A very long text is held whole by its task; its
+anchors are found a piece at a time and its keys are made 10,000 at a time.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ from cairnmap.llm.suffix_merge import front_coded, merged, shared, shared_rows
 
 LENGTH, KMER = 100, 40
 SAMPLE, SAMPLE_BITS = 20_000, 12
+PART_BYTES = 1 << 26
 _CHUNK_BITS = 18
 _FLUSH = 1_000_000
 _B = 0x9E3779B97F4A7C15
@@ -473,8 +476,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def repeats(rows: DataFrame, length: int = LENGTH, k: int = KMER) -> DataFrame:
     """doc, starts, ends (arrays of packed little-endian uint32): the intervals that repeat.  ``rows``: doc, text."""
-    parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition("part").sortWithinPartitions("part")
+    least = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(least, -(-size // PART_BYTES))
+    dealt = lambda df: (df.repartition(parts, "part") if parts > least else df.repartition("part")).sortWithinPartitions("part")
     found = stored(dealt(rows.select("doc", "text").mapInArrow(_postings(length, k, parts), _STEP)).mapInArrow(_repeating, _STEP).select("kind", "doc", "a"), "repeating")
     sample = sorted(bytes(r["a"]) for r in found.where("kind = 2").orderBy(F.xxhash64("a")).limit(SAMPLE).select("a").collect())
     cut = lambda keys: sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
