@@ -9,13 +9,19 @@ sums weights in 512 ranges of the range that holds the cut.  A pass shuffles one
 partial sum per range and task; rows never move, and one row per node comes back.
 All nodes of a level are treated together.
 
-Copies of a text have equal coordinates and checksums, so they stay together
-unless a cut must go through their group to keep sizes equal (``tolerance``, as
-part of a shard's target).
-
-Defined results: null text counts 8 bytes; null coordinates come first; rows that
-repeat an id get slots of their own; an empty table gives an empty result; with
-more shards than rows some shards are empty.
+Copies of a text whose metadata is equal, too, have one coordinate and checksum, so
+they stay together unless a cut must go through their group to keep sizes equal
+(``tolerance``, as part of a shard's target).  Copies that differ in a dimension,
+such as ``lang``, may be parted by a cut along it.
+
+Numbers are taken by their logarithm, so that a few huge ones (a very long text)
+leave most levels of a node to the others.
+
+Defined results: null text counts 8 bytes; null coordinates count as -1, below all
+sizes and strings; rows that repeat an id get slots of their own; rows equal in
+coordinate, checksum and id can't be parted and ties of a cut's two sides go left
+of it; an empty table gives an empty result; with more shards than rows some shards
+are empty.
 """
 
 from __future__ import annotations
@@ -32,8 +38,12 @@ RANGE_BITS = 9
 KEY_BITS = 63
 
 
+def _log(value: Column) -> Column:
+    return F.signum(value) * F.log1p(F.abs(value))
+
+
 def coordinate(df: DataFrame, name: str) -> Column:
-    """A column as a number that keeps its order (strings: by their first six bytes)."""
+    """A column as a number that keeps its order (strings: by their first six bytes, numbers: by their logarithm)."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
         value = F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 12), 12, "0"), 16, 10).cast("double")
@@ -42,7 +52,7 @@ def coordinate(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, T.DateType):
         value = F.unix_date(F.col(name)).cast("double")
     else:
-        value = F.col(name).cast("double")
+        value = _log(F.col(name).cast("double"))
     return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(-1.0))
 
 
@@ -140,6 +150,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         coordinate(docs, "n_chars").alias("d_chars"),
         coordinate(docs, "lang").alias("d_lang"),
-    ).withColumn("d_size", F.col("size").cast("double"))
+    ).withColumn("d_size", _log(F.col("size").cast("double")))
     placed = with_slots(kd_shards(stored(thin, "thin"), ["d_size", "d_chars", "d_lang"], 24), ["doc_id", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
