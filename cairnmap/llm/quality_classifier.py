@@ -10,7 +10,8 @@ with a few numpy gathers per level.
 Defined results: null and empty texts have all-zero statistics and get a score;
 labels without a quality are not used; an id labelled twice counts as its mean,
 rounded up; with labels of one kind only, or none, every score is the smoothed
-share of ones (0.5 for none); an empty table gives an empty result.
+share of ones (0.5 for none); an empty table gives an empty result; equal gains go
+to the first statistic and the least bin; a very long text is one row, read whole.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ keeps 64 less log2(words) bits, 55 for 500 words and 44 for a million.
 
 Defined results: null or empty text has no words and fails the base rules; rows
 that repeat are judged each for itself; an empty table gives an empty result;
-where no document is trusted all ratios are 0 and only base rules decide.
+where no document is trusted all ratios are 0 and only base rules decide; a score
+equal to the threshold passes; a very long text is one row of arrays of its words.
 """
 
 from __future__ import annotations

@@ -7,8 +7,11 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from cairnmap.llm import decontamination, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
 from cairnmap.llm.common import stored
@@ -267,6 +270,57 @@ def test_quality_classifier_learns(spark, docs, empty):
     assert quality_classifier.scored(empty, model).count() == 0
 
 
+def plain_trees(x, y, n_trees, depth, rate, bins, ridge, least):
+    """Boosting with plain loops: for each node the best (statistic, edge) over all, then a Newton step in each leaf."""
+    edges = [sorted({float(v) for v in np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])}) for f in range(x.shape[1])]
+    base = math.log((sum(y) + 1) / (len(y) - sum(y) + 1))
+    out, trees = [base] * len(y), []
+
+    def grow(rows, grad, hess, level):
+        if level == depth:
+            return -rate * sum(grad[i] for i in rows) / (sum(hess[i] for i in rows) + ridge)
+        worth = lambda part: sum(grad[i] for i in part) ** 2 / (sum(hess[i] for i in part) + ridge)
+        best = (1e-6, 0, None)
+        for f, some in enumerate(edges):
+            for e in some:
+                low, high = [i for i in rows if x[i, f] <= e], [i for i in rows if x[i, f] > e]
+                if len(low) >= least and len(high) >= least:
+                    gain = worth(low) + worth(high) - worth(rows)
+                    if gain > best[0] + 1e-9:
+                        best = gain, f, e
+        _, f, e = best
+        low, high = ([i for i in rows if e is None or x[i, f] <= e], [i for i in rows if e is not None and x[i, f] > e])
+        return f, e, grow(low, grad, hess, level + 1), grow(high, grad, hess, level + 1)
+
+    def value(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if tree[1] is None or row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(n_trees):
+        p = [1 / (1 + math.exp(-o)) for o in out]
+        trees.append(grow(list(range(len(y))), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], 0))
+        out = [o + value(trees[-1], x[i]) for i, o in enumerate(out)]
+    return lambda rows: [1 / (1 + math.exp(-base - sum(value(t, r) for t in trees))) for r in rows]
+
+
+def test_boosting_matches_plain_loops():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (90, 4)).astype(np.float32)
+    y = ((x[:, 1] > 5) ^ (x[:, 2] > 7) | (rng.random(90) < 0.1)).astype(float)
+    shape = dict(n_trees=4, depth=3, rate=0.3, bins=8, ridge=1.0, least=4)
+    model, plain = quality_classifier.fit(x, y, **shape), plain_trees(x, y.tolist(), **shape)
+    more = rng.integers(-2, 15, (50, 4)).astype(np.float32)
+    assert model.scores(more) == pytest.approx(plain(more)) and model.scores(x) == pytest.approx(plain(x))
+
+
+def test_statistics_of_very_long_texts_and_ties():
+    got = quality_classifier.statistics(pa.array(["word " * 400_000, "x" * 2_000_000, None, "", "word " * 400_000]))
+    assert np.isfinite(got).all() and (got[0] == got[4]).all() and not got[2].any() and not got[3].any()
+    x = np.array([[0, 0], [1, 1]] * 20, np.float32)  # two equal statistics: the first is taken
+    assert not quality_classifier.fit(x, np.array([0.0, 1.0] * 20), n_trees=1, depth=1).feature.any()
+
+
 def test_language_id(spark, docs, empty):
     rng = random.Random(2)
     stems = {"aa": ["the", "thing", "with", "over"], "bb": ["der", "und", "schon", "nicht"], "cc": ["que", "esta", "los", "para"]}
@@ -481,6 +535,48 @@ def test_sharding(spark, docs, rows, empty):
     assert sharding.kd_shards(stored(thin(empty), "thin"), ["d"], 6).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 5])
+def test_cuts_are_weighted_medians(spark, n):
+    rng = random.Random(n)
+    data = [(i, rng.choice([1, 2, 3, 40]), i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.sample(range(200), 70), rng.sample(range(500), 70)))]
+    data.append((70, 30, 70, 200.0, 5000.0))
+    thin = stored(spark.createDataFrame(data, "doc_id long, size long, text_crc32 long, a double, b double"), "thin")
+    got = defaultdict(set)
+    for r in sharding.kd_shards(thin, ["a", "b"], n, tolerance=0.0).collect():
+        got[r.shard].add(r.doc_id)
+    span = [max(r[d] for r in data) - min(r[d] for r in data) for d in (3, 4)]
+    want = {}
+
+    def split(rows, first, shards):
+        if shards == 1:
+            want[first] = {r[0] for r in rows}
+            return
+        wide = [(max(r[d] for r in rows) - min(r[d] for r in rows)) / s for d, s in zip((3, 4), span)]
+        rows = sorted(rows, key=lambda r: r[3 + wide.index(max(wide))])
+        goal, sums = sum(r[1] for r in rows) * (shards // 2) / shards, [0]
+        for r in rows:
+            sums.append(sums[-1] + r[1])
+        cut = min(range(len(sums)), key=lambda k: abs(sums[k] - goal))
+        split(rows[:cut], first, shards // 2)
+        split(rows[cut:], first + shards // 2, shards - shards // 2)
+
+    split(data, 0, n)
+    assert got == want
+
+
+def test_sharding_of_very_long_texts_and_copies(spark):
+    data = [(i, f"text {i // 3} " + "x" * (i // 3 % 50), "en") for i in range(300)] + [(300, "y" * 3_000_000, "en"), (301, "text 0 ", "en"), (301, "text 0 ", "en")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    size = (F.octet_length("text") + 8).cast("long")
+    thin = docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text", sharding.coordinate(docs.withColumn("size", size), "size").alias("d"))
+    rows = sharding.with_slots(sharding.kd_shards(stored(thin, "thin"), ["d"], 4), ["doc_id", "text_crc32"]).collect()
+    homes = defaultdict(set)
+    for r in rows:
+        homes[r.text].add(r.shard)
+    assert len(rows) == 303 and sum(len(x) > 1 for x in homes.values()) <= 3
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(4))
+
+
 def brute_links(rows):
     sets = {}
     for d, t in rows:
@@ -559,6 +655,54 @@ def test_quality_rules(rows, docs, empty):
     assert quality_rules.judged(empty).count() == 0
 
 
+def test_ratios_and_threshold_match_plain_loops(spark, docs, rows):
+    buckets, seed = 64, 42
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+
+    def grams(text):
+        words = [signed(xxhash.xxh64_intdigest(w.encode(), seed)) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        two = [signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little", signed=True), xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True), seed))) for a, b in zip(words, words[1:])]
+        return words + two, len(words)
+
+    raw, good, trusted = Counter(), Counter(), []
+    for _, t, *_ in rows:
+        g, n = grams(t)
+        raw.update(x % buckets for x in g)
+        if n >= 60:
+            good.update(x % buckets for x in g)
+    ratio = [math.log((good[b] + 1) / (sum(good.values()) + buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + buckets)) for b in range(buckets)]
+    score = {}
+    for d, t, *_ in rows:
+        g, n = grams(t)
+        score[d] = sum(ratio[x % buckets] for x in g) / len(g) if g else 0.0
+        if n >= 60:
+            trusted.append(score[d])
+    mean = sum(trusted) / len(trusted)
+    limit = mean - 0.5 * math.sqrt(sum((x - mean) ** 2 for x in trusted) / len(trusted))
+    got = quality_rules.judged(docs, F.size("_w") >= 60, buckets, 0.5).collect()
+    assert len(got) == len(rows) and {r.kept for r in got if not r.base_failed} == {True, False}
+    for r in got:
+        assert (r.score, r.threshold) == (pytest.approx(score[r.doc_id]), pytest.approx(limit))
+        assert r.kept == (not r.base_failed and r.score >= r.threshold)
+
+
+def test_rules_of_equal_scores_and_very_long_texts(spark):
+    texts = [" ".join(f"w{i}" for i in range(60))] * 3 + ["a b " * 250_000, "z" * 3_000_000]
+    got = quality_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.size("_w") == 60).orderBy("doc_id").collect()
+    assert [r.kept for r in got] == [True] * 3 + [False] * 2 and got[0].score == got[2].score
+    assert (got[3].n_words, got[3].n_repeat_words, got[4].word_chars) == (500_000, 500_000, 3_000_000)
+
+
+def test_suffix_dedup_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20_000)  # more parts than the session's
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    long, passage = text(300_000), text(130)
+    data = [(1, long), (2, text(50) + long[150_000:150_120] + text(50)), (3, passage + text(20) + passage), (4, "ab" * 5000), (4, "ab" * 5000), (5, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 100, 40).collect()}
+    assert got == brute_substrings({x for x in data}, 100)
+
+
 @pytest.mark.parametrize(("query", "sql"), [(line_dedup.op6_line_dedup, line_dedup.OP6_SQL), (mixing.op7_mixing, mixing.OP7_SQL)])
 def test_matches_sql(spark, query, sql):
     data = "/root/testdata/sf0.001"
