@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import WordHashes, documents, mixed, same, stored, windows
+from cairnmap.llm.common import WordHashes, documents, mixed, same, small_batches, stored, trimmed, windows
 from cairnmap.llm.components import components
 
 WORDS = 5
@@ -441,16 +441,16 @@ def _linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b, na, nb) that link, as edges (u, v).  ``nodes``: node, rep, sketch."""
     pairs = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     sketch = lambda side: nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"s{side}"))
-    close = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_bounded, "a long, b long")
+    close = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(trimmed(_bounded), "a long, b long")
     close = stored(close, "close")
     ends = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct()
     wanted = stored(nodes.join(ends, "node", "left_semi").select("rep").distinct(), "wanted")
     small = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if small else wanted, same(docs["doc_id"], wanted["rep"]), "left_semi")
-    sets = stored(texts.select(F.col("text").cast("binary")).mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = stored(texts.select(F.col("text").cast("binary")).mapInArrow(trimmed(_sets), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
     both = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return stored(both.mapInArrow(_checked, "u long, v long"), "links")
+    return stored(both.mapInArrow(trimmed(_checked), "u long, v long"), "links")
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -470,24 +470,27 @@ def _bands(long: DataFrame) -> DataFrame:
 
 def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edges`` with the links that lists ``long`` (key, node, n) add for components to be complete, and all roots."""
+    if long.isEmpty():
+        return edges, stored(components(edges), "roots")
     long = stored(_bands(long).join(nodes.select("node", "sketch"), "node"), "long")
     dealt = lambda df, *by: df.repartition(*by).sortWithinPartitions(*by)
-    if not long.isEmpty():
-        rows = dealt(long.select("key", "block", "node", "n", "sketch"), "key", "block")
-        edges = edges.unionAll(_linked(rows.mapInArrow(_canopies, "a long, b long, na int, nb int"), nodes, docs))
+    rows = dealt(long.select("key", "block", "node", "n", "sketch"), "key", "block")
+    edges = edges.unionAll(_linked(rows.mapInArrow(trimmed(_canopies), "a long, b long, na int, nb int"), nodes, docs))
     roots = stored(components(edges), "roots")
     for every in (False, True):
         placed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         of_root = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
         lists = of_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("major"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
         lists = stored(lists.select("key", "major", F.ceil(F.col("rest") / BLOCK).cast("int").alias("parts")), "apart")
+        if lists.isEmpty():
+            break
         placed = placed.join(_sent(lists), "key")
         part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
         left = placed.where("root <> major").withColumn("i", part).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.lit(True))
         right = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.col("block")).withColumn("left", F.lit(False))
         cols = ["key", "i", "j", "node", "n", "root", "left", "sketch"]
         rows = left.select(*cols).unionAll(right.select(*cols))
-        found = stored(dealt(rows, "key", "i", "j").mapInArrow(_across(every), "a long, b long, na int, nb int"), "across")
+        found = stored(dealt(rows, "key", "i", "j").mapInArrow(trimmed(_across(every)), "a long, b long, na int, nb int"), "across")
         if not found.isEmpty():
             more = _linked(found, nodes, docs)
             if not more.isEmpty():
@@ -499,9 +502,10 @@ def _long_links(long: DataFrame, edges: DataFrame, nodes: DataFrame, docs: DataF
 def placed(docs: DataFrame) -> DataFrame:
     """doc_id, row_key (a hash of the text), n_shingles, root (null without shingles), component_id of each row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     texts = docs.select("doc_id", row_key(docs).alias("row_key"), F.col("text").cast("binary"))
-    profile = stored(texts.mapInArrow(_profile, "heavy boolean, doc_id long, row_key long, node long, n long, sketch binary"), "profile")
+    profile = stored(texts.mapInArrow(trimmed(_profile), "heavy boolean, doc_id long, row_key long, node long, n long, sketch binary"), "profile")
     rows = profile.where("NOT heavy AND n > 0").select("doc_id", "row_key", "node", "n", "sketch")
     counts = profile.where("heavy").groupBy("node").agg(F.sum("n").alias("c")).where(F.col("c") >= HEAVY_LEAST)
     top = counts.orderBy(F.desc("c"), "node").limit(HEAVY_MAX).toArrow()
@@ -517,9 +521,9 @@ def placed(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * parts, -(-int(postings) // BUCKET_POSTINGS))
     sent = spark.sparkContext.broadcast((frequent[order], rank[order]))
-    packets = texts.select("text").mapInArrow(_postings(sent, buckets, limit), _PACKET)
+    packets = texts.select("text").mapInArrow(trimmed(_postings(sent, buckets, limit)), _PACKET)
     dealt = packets.repartition(buckets, "bucket") if buckets > 2 * parts else packets.repartition("bucket")
-    found = stored(dealt.sortWithinPartitions("bucket").mapInArrow(_candidates, _FOUND), "found")
+    found = stored(dealt.sortWithinPartitions("bucket").mapInArrow(trimmed(_candidates), _FOUND), "found")
 
     edges = _linked(found.where(F.col("what") == CANDIDATE).drop("what"), nodes, docs).unionAll(found.where(F.col("what") == SURE).select(F.col("a").alias("u"), F.col("b").alias("v")))
     long = found.where(F.col("what") == LONG).select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("na").alias("n"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import documents
+from cairnmap.llm.common import documents, small_batches, trimmed
 
 ROW_TOKENS = 2048
 SEPARATOR = 50256
@@ -156,6 +156,7 @@ def id_type(vocabulary: int, size: int) -> np.dtype:
 
 def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = ROW_TOKENS, separator: int = SEPARATOR, pad: int = SEPARATOR, window_tokens: int = 4_000_000) -> DataFrame:
     """Pack ``docs`` (doc_id, text).  ``tokenizer`` is a file of ranks, read on the driver and sent to the executors."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = id_type(separator + 1, size)
@@ -172,7 +173,7 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = ROW_TOKENS,
                     pieces, held = [], 0
         yield from _packed(pieces, size, pad, kind)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), SCHEMA)
 
 
 def write_matrices(rows: DataFrame, path: str) -> None:

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import byte_views, documents, mixed, same, stored
+from cairnmap.llm.common import byte_views, documents, mixed, same, small_batches, stored, trimmed
 from cairnmap.llm.sharding import with_slots
 from cairnmap.llm.suffix_merge import front_coded, merged, shared, shared_rows
 
@@ -476,11 +476,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def repeats(rows: DataFrame, length: int = LENGTH, k: int = KMER) -> DataFrame:
     """doc, starts, ends (arrays of packed little-endian uint32): the intervals that repeat.  ``rows``: doc, text."""
+    small_batches(rows.sparkSession)
     least = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(least, -(-size // PART_BYTES))
     dealt = lambda df: (df.repartition(parts, "part") if parts > least else df.repartition("part")).sortWithinPartitions("part")
-    found = stored(dealt(rows.select("doc", "text").mapInArrow(_postings(length, k, parts), _STEP)).mapInArrow(_repeating, _STEP).select("kind", "doc", "a"), "repeating")
+    found = stored(dealt(rows.select("doc", "text").mapInArrow(trimmed(_postings(length, k, parts)), _STEP)).mapInArrow(trimmed(_repeating), _STEP).select("kind", "doc", "a"), "repeating")
     sample = sorted(bytes(r["a"]) for r in found.where("kind = 2").orderBy(F.xxhash64("a")).limit(SAMPLE).select("a").collect())
     cut = lambda keys: sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
     borders = cut(sample)
@@ -490,9 +491,9 @@ def repeats(rows: DataFrame, length: int = LENGTH, k: int = KMER) -> DataFrame:
     zipped = rows.select("doc", "text").mapInArrow(_zipped, "doc long, text binary")
     places = found.where(F.col("kind") == SPANS).groupBy("doc").agg(F.collect_list("a").alias("places"))
     met = zipped.join(places, "doc").select("doc", "text", "places")
-    runs = dealt(met.mapInArrow(_suffix_runs(borders, length, k, parts), _STEP))
-    strings = dealt(runs.mapInArrow(_merge_suffixes(borders, next_borders, length, k, parts), _STEP))
-    spans = strings.mapInArrow(_merge_strings(length, parts), _STEP).select("doc", "a", "b")
+    runs = dealt(met.mapInArrow(trimmed(_suffix_runs(borders, length, k, parts)), _STEP))
+    strings = dealt(runs.mapInArrow(trimmed(_merge_suffixes(borders, next_borders, length, k, parts)), _STEP))
+    spans = strings.mapInArrow(trimmed(_merge_strings(length, parts)), _STEP).select("doc", "a", "b")
     return spans.groupBy("doc").agg(F.collect_list("a").alias("starts"), F.collect_list("b").alias("ends"))
 
 
