@@ -8,7 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only a session without it gets a local one."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only a session on one machine without it gets a local one."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairnmap-"))
+    if context.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cairnmap-"))

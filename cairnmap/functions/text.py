@@ -15,6 +15,9 @@ SYNONYMS = (
     ("street", "st", "str"), ("avenue", "ave", "av"), ("road", "rd"), ("boulevard", "blvd", "bd"), ("place", "pl"),
     ("square", "sq"), ("drive", "dr"), ("lane", "ln"), ("court", "ct"),
 )
+# The pattern of ordinals and what is kept of them.
+ORDINALS = "(?i)((^| )((1)st?|(2)nd?|(3)rd?|([4-9])th?)|(([0-9]*)(1[0-9])th?)|(([0-9]*[02-9])((1)st?|(2)nd?|(3)rd?|([04-9])th?))($| ))"
+ORDINALS_KEPT = "$2$4$5$6$7$9$10$12$14$15$16$17$18"
 SEPARATORS = r"[\s,/\\-]+"
 MAX_GRAM = 24
 #: Up to this many synonyms are one map in the plan.
@@ -44,7 +47,8 @@ def alternatives(token: Column) -> Column:
 
 def indexed(text: Column) -> Column:
     """For each position, a token and its folded form."""
-    return F.transform(tokens(F.lower(text)), lambda t: F.array_distinct(F.array(t, folded(t))))
+    low = F.lower(text)  # folding neither adds nor takes separators, so the whole text can be folded at once
+    return F.zip_with(tokens(low), tokens(folded(low)), lambda t, f: F.array_distinct(F.array(t, f)))
 
 
 def queried(text: Column) -> Column:
@@ -79,11 +83,8 @@ def nfkc(text: Column) -> Column:
 
 
 def without_ordinal(token: Column) -> Column:
-    """``1st`` -> 1, ``22nd`` -> 22, ``113th`` -> 113; the ending of a number of one digit or of a teen needn't end the token."""
-    one = r"^(?:(1)st?|(2)nd?|(3)rd?|([4-9])th?)"
-    teen = r"([0-9]*1[0-9])th?"
-    more = r"([0-9]*[02-9](?:1(?=st?$)|2(?=nd?$)|3(?=rd?$)|[04-9](?=th?$)))[a-z]+$"
-    return F.regexp_replace(token, f"(?i){one}|{teen}|{more}", "$1$2$3$4$5$6")
+    """``1st`` -> 1, ``22nd`` -> 22, ``113th`` -> 113."""
+    return F.regexp_replace(token, ORDINALS, ORDINALS_KEPT)
 
 
 def _kept(forms: Column) -> Column:

@@ -84,7 +84,7 @@ def _(spark, sf_dir):
 SELECT doc_id, len(toks)::INTEGER AS n_tokens, array_to_string(list_transform(toks, lambda x: strip_accents(replace(x, 'ß', 'ss'))), ' ') AS folded FROM t""")
 def _(spark, sf_dir):
     toks = text.tokens(F.lower("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(toks).alias("n_tokens"), F.array_join(F.transform(toks, text.folded), " ").alias("folded"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(toks).alias("n_tokens"), text.folded(F.array_join(toks, " ")).alias("folded"))
 
 
 _PAIRS = ", ".join(f"('{w}', '{g[0]}')" for g in text.SYNONYMS for w in g)
