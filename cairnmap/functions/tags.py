@@ -123,6 +123,14 @@ def clamped(value: Column, low: float, high: float) -> Column:
     return F.when(F.isnan(value), value).otherwise(F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
+def clean_box(box: Column) -> Column:
+    """A box within the map, its lesser side first; null stays null, and a NaN stays where it is."""
+    side = {n: clamped(box[n], -limit, limit) for n, limit in (("min_x", 180.0), ("min_y", 90.0), ("max_x", 180.0), ("max_y", 90.0))}
+    turned = {c: (side[f"min_{c}"] > side[f"max_{c}"]) & ~F.isnan(side[f"min_{c}"]) for c in "xy"}
+    ordered = [F.when(turned[n[-1]], side[other]).otherwise(side[n]).alias(n) for n, other in (("min_x", "max_x"), ("min_y", "max_y"), ("max_x", "min_x"), ("max_y", "min_y"))]
+    return F.when(box.isNotNull(), F.struct(*ordered))
+
+
 def clean_importance(value: Column) -> Column:
     finite = F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(0.0)).otherwise(value)
     return F.least(F.greatest(finite, F.lit(0.0)), F.lit(1.0))

@@ -110,6 +110,7 @@ ANALYZERS: dict[str, Callable[[Column], Column]] = {
     "zip": lambda text: F.filter(F.array(F.array(F.lower(postcode(text)))), lambda forms: forms[0] != ""),
 }
 # The analyzer of each field, of the table and of a query; fields that aren't named here are names of areas.
+AREA_ANALYZERS = ("admin", "query")
 FIELD_ANALYZERS = {
     "name_all": ("index", "query"), "phrase": ("index", "query"), "street": ("street", "query"), "postcode": ("zip", "zip"), "city": ("admin", "query"),
 }

@@ -58,7 +58,7 @@ def admin_places(areas: DataFrame, source_file: str) -> DataFrame:
         F.concat(F.lit("relation/"), "osm_id").alias("source_id"), F.lit(source_file).alias("source_file"), F.lit("relation").alias("osm_type"), "osm_id", F.col("level").alias("layer"),
         tags.admin_importance(F.col("level")).alias("importance"), "wikidata_id", "names", F.lit(None).cast("string").alias("phrase"), tags.name_all(F.map_values("names")).alias("name_all"),
         F.lit(None).cast("struct<" + ",".join(f"{x}:string" for x in tags.ADDRESS_PARTS) + ">").alias("address"), F.array().cast("array<string>").alias("categories"),
-        tags.clamped(F.col("lon"), -180.0, 180.0).alias("lon"), tags.clamped(F.col("lat"), -90.0, 90.0).alias("lat"), "bbox",
+        tags.clamped(F.col("lon"), -180.0, 180.0).alias("lon"), tags.clamped(F.col("lat"), -90.0, 90.0).alias("lat"), tags.clean_box(F.col("bbox")).alias("bbox"),
     )
 
 

@@ -20,7 +20,7 @@ def _places(objects: DataFrame, kind: str, source_file: str, note: Column | None
         F.concat(F.lit(f"{kind}/"), "id").alias("source_id"), F.lit(source_file).alias("source_file"), F.lit(kind).alias("osm_type"), F.col("id").alias("osm_id"),
         "layer", tags.importance(t).alias("importance"), tags.wikidata_id(t).alias("wikidata_id"), "names", F.try_element_at("names", F.lit("default")).alias("phrase"),
         tags.name_all(F.map_values("names")).alias("name_all"), "address", kinds.alias("categories"),
-        tags.clamped(F.col("lon"), -180.0, 180.0).alias("lon"), tags.clamped(F.col("lat"), -90.0, 90.0).alias("lat"), "bbox",
+        tags.clamped(F.col("lon"), -180.0, 180.0).alias("lon"), tags.clamped(F.col("lat"), -90.0, 90.0).alias("lat"), tags.clean_box(F.col("bbox")).alias("bbox"),
     )
 
 

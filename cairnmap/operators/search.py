@@ -16,33 +16,43 @@ from cairnmap.functions import text
 K1, B, IMPORTANCE_BOOST = 1.2, 0.75, 10.0
 
 
-def postings(places: DataFrame, fields: list[str], prefix: bool = False) -> DataFrame:
-    """(id, field, term, tf, length) of ``places`` (id and text fields)."""
-    per_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
-    rows = places.select("id", per_field.alias("x")).select("id", "x.field", text.indexed(F.col("x.value")).alias("at")).where(F.size("at") > 0)
-    terms = F.transform("at", lambda forms: F.array_distinct(F.flatten(F.transform(forms, lambda t: text.edge_ngrams(t))))) if prefix else F.col("at")
-    each = rows.select("id", "field", F.size("at").alias("length"), F.explode(F.flatten(terms)).alias("term"))
-    return each.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def _fields(places: DataFrame, fields: list[str], prefix: bool) -> DataFrame:
+    """(id, field, analyzer, at): the forms at each position of a field, by the analyzer of its table; ``analyzer`` is the one of queries."""
+    asked = lambda f: text.FIELD_ANALYZERS.get(f, text.AREA_ANALYZERS)
+    each = [F.struct(F.lit(f).alias("field"), F.lit(asked(f)[1]).alias("analyzer"), text.ANALYZERS[asked(f)[0]](F.col(f)).alias("at")) for f in fields]
+    rows = places.select("id", F.explode(F.array(*each)).alias("x")).select("id", "x.*").where(F.size("at") > 0)
+    grams = F.transform("at", lambda forms: F.array_distinct(F.flatten(F.transform(forms, lambda t: text.edge_ngrams(t)))))
+    return rows.withColumn("at", grams) if prefix else rows
 
 
 def search(queries: DataFrame, places: DataFrame, fields: list[str], size: int = 10, prefix: bool = False, boxed: bool = False) -> DataFrame:
-    """(query_id, id, score, rank): ``queries`` has query_id and text, ``places`` id, importance and the fields.
+    """(query_id, id, score, rank): ``queries`` has query_id and text, ``places`` id (unique), importance and the fields.
 
+    Fields whose queries are analysed alike are one group; all words must match within a group, and a place's best group counts.
+    Only terms that are asked for are grouped and sent; lengths are averages over all places.
     ``boxed``: queries have a box (null: anywhere), places lon and lat; only places in the box are ranked.
     """
-    index = postings(places, fields, prefix)
+    rows = _fields(places, fields, prefix)
+    analyzers = sorted({text.FIELD_ANALYZERS.get(f, text.AREA_ANALYZERS)[1] for f in fields})
+    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("analyzer"), text.ANALYZERS[a](F.col("text")).alias("at")) for a in analyzers]))
+    wanted = queries.select("query_id", asked.alias("x")).select("query_id", "x.analyzer", F.posexplode("x.at").alias("pos", "forms")).select("query_id", "analyzer", "pos", F.explode("forms").alias("term"))
+    need = wanted.groupBy("query_id", "analyzer").agg(F.countDistinct("pos").alias("positions"))
     total = places.agg(F.count("*").alias("n_places"), F.exp(F.avg(F.when(F.col("importance") > 0, F.ln("importance")))).alias("pivot"))
-    lengths = index.select("id", "field", "length").distinct().groupBy("field").agg(F.avg("length").alias("mean_length"))
-    frequency = index.groupBy("field", "term").agg(F.count("*").alias("df")).groupBy("term").agg(F.max("df").alias("df"))
-    wanted = queries.select("query_id", F.posexplode(text.queried(F.col("text"))).alias("pos", "forms")).select("query_id", "pos", F.explode("forms").alias("term"))
-    need = wanted.groupBy("query_id").agg(F.countDistinct("pos").alias("positions"))
+    lengths = rows.groupBy("field").agg(F.avg(F.size("at")).alias("mean_length"))
+    terms = rows.select("id", "field", "analyzer", F.size("at").alias("length"), F.explode(F.flatten("at")).alias("term"))
+    some = terms.join(wanted.select("analyzer", "term").distinct(), ["analyzer", "term"], "left_semi")
+    index = some.groupBy("id", "field", "analyzer", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    frequency = index.groupBy("field", "analyzer", "term").agg(F.count("*").alias("df")).groupBy("analyzer", "term").agg(F.max("df").alias("df"))
     # the statistics below are one row, or one row a field
-    hits = wanted.join(index, "term").join(frequency, "term").join(F.broadcast(lengths), "field").join(F.broadcast(total))
+    hits = wanted.join(frequency, ["analyzer", "term"]).join(index, ["analyzer", "term"]).join(F.broadcast(lengths), "field").join(F.broadcast(total))
     idf = F.ln(1 + (F.col("n_places") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     worth = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    best = hits.groupBy("query_id", "id", "pos").agg(F.max(worth).alias("s"), F.first("pivot").alias("pivot"))
-    found = best.groupBy("query_id", "id").agg(F.count("*").alias("got"), F.sum("s").alias("s"), F.first("pivot").alias("pivot"))
-    whole = found.join(need, "query_id").where("got = positions").join(places.select("id", "importance", *(("lon", "lat") if boxed else ())), "id")
+    best = hits.groupBy("query_id", "analyzer", "id", "pos").agg(F.max(worth).alias("s"), F.first("pivot").alias("pivot"))
+    found = best.groupBy("query_id", "analyzer", "id").agg(F.count("*").alias("got"), F.sum("s").alias("s"), F.first("pivot").alias("pivot"))
+    full = found.join(need, ["query_id", "analyzer"]).where("got = positions")
+    if len(analyzers) > 1:
+        full = full.groupBy("query_id", "id").agg(F.max("s").alias("s"), F.first("pivot").alias("pivot"))
+    whole = full.join(places.select("id", "importance", *(("lon", "lat") if boxed else ())), "id")
     if boxed:
         here = F.col("box").isNull() | in_box(F.col("lon"), F.col("lat"), F.col("box"))
         whole = whole.join(queries.select("query_id", "box"), "query_id").where(here)

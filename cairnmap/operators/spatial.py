@@ -21,6 +21,12 @@ def containing(points: DataFrame, boundaries: DataFrame, cell: float = 4.0) -> D
     return near.where(geo.inside(F.col("ring"), F.col("x"), F.col("y"))).drop("_cx", "_cy", "_b")
 
 
+def at_level(points: DataFrame, boundaries: DataFrame, level: str, cell: float = 4.0) -> DataFrame:
+    """(id, osm_id): of the boundaries of one level around a point the one of least id.  ``points``: id, x, y; ``boundaries``: osm_id, level, ring."""
+    some = boundaries.where(F.col("level") == level).select("osm_id", "ring")
+    return containing(points.select("id", "x", "y"), some, cell).groupBy("id").agg(F.min("osm_id").alias("osm_id"))
+
+
 def hierarchy(pairs: DataFrame, levels: dict[str, int]) -> DataFrame:
     """One boundary per point and level: the smallest; countries must agree with the code of the most specific one.
 
@@ -73,6 +79,8 @@ def nearest(points: DataFrame, places: DataFrame, size: int = 10, layers: tuple[
     up = F.sequence(_cell(F.greatest(F.col("lat") - reach, F.lit(-90.0)), 90, side), _cell(F.least(F.col("lat") + reach, F.lit(90.0)), 90, side))
     around = taken.withColumn("cy", F.explode(up)).withColumn("cx", F.explode(F.transform(across, lambda x: F.pmod(x, n))))
     meters = geo.haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"), geo.EARTH_M)
-    pairs = around.join(placed, ["level", "cx", "cy"]).select("point_id", "id", F.round(meters, 6).alias("meters"))
+    # at most one row a level of CELLS: places are sent by cell only at levels that some point takes
+    used = F.broadcast(taken.select("level").distinct())
+    pairs = around.join(placed.join(used, "level", "left_semi"), ["level", "cx", "cy"]).select("point_id", "id", F.round(meters, 6).alias("meters"))
     order = Window.partitionBy("point_id").orderBy("meters", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)

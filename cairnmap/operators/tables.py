@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,16 @@ def without_stale(rows: DataFrame, source_file: str, import_start) -> DataFrame:
     return rows.where(~((F.col("source_file") == source_file) & (F.col("import_timestamp") < import_start)))
 
 
-def without_region(rows: DataFrame, name: str) -> DataFrame:
-    return rows.where(~F.col("source_file").contains(name))
+def without_region(rows: DataFrame, name: str, urls: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Drops rows of a region's files.
+
+    ``urls``: (name, url) of known regions.  A name that is one of them, in any case if not as it stands, means all files
+    that begin like its url's file; any other name means files whose names hold it.
+    """
+    known = [url for known_, url in urls or () if known_ == name] or [url for known_, url in urls or () if known_.lower() == name.lower()]
+    file = F.col("source_file")
+    gone = file.startswith(known[0].rstrip("/").rsplit("/", 1)[-1].removesuffix(".osm.pbf")) if known else file.contains(name)
+    return rows.where(~F.coalesce(gone, F.lit(False)))
 
 
 def to_import(regions: DataFrame, versions: DataFrame, refresh: bool = False) -> DataFrame:
@@ -36,19 +46,28 @@ def merged_labels(names, labels):
 def road_components(ways: DataFrame) -> DataFrame:
     """(way_id, key, component): ways of one key that are joined by shared end nodes.
 
-    Labels spread over end nodes until none changes, one partial aggregation a round.
+    Ways that meet nothing at either end are done at once.  Of the others, labels that meet at a node become the least of
+    them by a hash that differs from round to round, so chains shrink by a share each round whatever their ids, until no
+    node has two labels.  Rounds go over numbers only: a node under a key is told by its id and 64 bits of the key's hash.
     """
     ensure_checkpoints(ways.sparkSession)
-    label = ways.select("way_id", "key", "first", "last", F.col("way_id").alias("component")).checkpoint()
-    while True:
-        ends = label.select("key", "component", F.explode(F.array("first", "last")).alias("node")).groupBy("key", "node").agg(F.min("component").alias("m"))
-        at = lambda side: ends.select("key", F.col("node").alias(side), F.col("m").alias(f"m_{side}"))  # noqa: E731, B023
-        moved = label.join(at("first"), ["key", "first"]).join(at("last"), ["key", "last"])
-        least = moved.groupBy("key", "component").agg(F.least(F.min("m_first"), F.min("m_last")).alias("to"))
-        after = label.join(least, ["key", "component"]).select("way_id", "key", "first", "last", F.col("to").alias("component")).checkpoint()
-        if after.agg(F.sum("component")).first() == label.agg(F.sum("component")).first():
-            return after.select("way_id", "key", "component")
-        label = after
+    place = lambda side: F.struct(F.xxhash64("key").alias("k"), F.col(side).alias("node"))
+    ends = ways.select("way_id", F.explode(F.array_distinct(F.array(place("first"), place("last")))).alias("p")).select("way_id", "p.*")
+    met = ends.groupBy("k", "node").agg(F.min("way_id").alias("m"), F.max("way_id").alias("_most")).where("m < _most").select("k", "node", "m")
+    # nodes of a single way join nothing
+    pairs = ends.join(met, ["k", "node"]).select(F.col("way_id").alias("label"), "k", "node").checkpoint()
+    known = pairs.select(F.col("label").alias("way_id"), "label").distinct().checkpoint()
+    for turn in count():
+        rank = F.struct(F.xxhash64("label", F.lit(turn)).alias("h"), "label")
+        least = pairs.groupBy("k", "node").agg(F.min(rank).alias("m"))
+        to = pairs.join(least, ["k", "node"]).groupBy("label").agg(F.min("m")["label"].alias("to"))
+        moves = to.where("to <> label").checkpoint()
+        if moves.isEmpty():
+            break
+        known = known.join(moves, "label", "left").select("way_id", F.coalesce("to", "label").alias("label")).checkpoint()
+        pairs = pairs.join(moves, "label", "left").select(F.coalesce("to", "label").alias("label"), "k", "node").distinct().checkpoint()
+    found = known.join(known.groupBy("label").agg(F.min("way_id").alias("least")), "label").select("way_id", "least")
+    return ways.select("way_id", "key").join(found, "way_id", "left").select("way_id", "key", F.coalesce("least", "way_id").alias("component"))
 
 
 def merged_roads(components: DataFrame, lines: DataFrame) -> DataFrame:

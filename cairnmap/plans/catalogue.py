@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnmap.functions import geo, tags, text
-from cairnmap.operators import extract, results, rings, search, spatial, tables
+from cairnmap.operators import boundaries, extract, results, rings, search, spatial, tables
+from cairnmap.plans import ingest, service
 from cairnmap.sources import files
 
 QUERIES: dict = {}
@@ -497,3 +498,180 @@ def _(spark, sf_dir):
     line = F.when(F.col("p_partkey") % 2 == 0, F.array(*square, square[0])).otherwise(F.array(*square))
     lines = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), line.alias("line"))
     return extract.from_ways(_tagged(spark, sf_dir), lines, "a.osm").select("source_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.col("bbox.max_x").alias("max_lon"))
+
+
+# --- import
+
+
+def _map(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Objects of a map: customers as nodes, suppliers as ways of roads in threes, nations and regions as relations of one closed way."""
+    none, text_ = F.create_map().cast("map<string,string>"), lambda *kv: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in kv])
+    corner = lambda x, y: (-1 - x * 6 - y).cast("long")
+    box = lambda x0, y0, x1, y1: F.array(*[corner(*p) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    key, points = F.col("c_custkey"), _points(spark, sf_dir)
+    described = read(spark, sf_dir, "customer").select(
+        key.alias("id"),
+        F.when(key % 3 == 0, text_("amenity", "cafe", "name", F.col("c_name"), "wikidata", F.concat(F.lit("Q"), "c_nationkey"))).when(key % 3 == 1, text_("place", "city", "name", F.col("c_name"))).otherwise(text_("addr:housenumber", "7", "addr:street", "Main")).alias("tags"),
+    )
+    x, y = F.floor(F.col("id") / 6), F.col("id") % 6
+    corners = spark.range(36).select((-1 - F.col("id")).alias("id"), (y * 36.0 - 90).alias("lat"), (x * 72.0 - 180).alias("lon"), none.alias("tags"))
+    nation, region = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    col, row, r, s = F.col("n_regionkey"), F.floor(F.col("n_nationkey") / 5), F.col("r_regionkey"), F.col("s_suppkey")
+    bound = ("type", "boundary", "boundary", "administrative", "admin_level")
+    ways = [
+        nation.select((F.col("n_nationkey") + 10_000_000).cast("long").alias("id"), box(col, row, col + 1, row + 1).alias("nodes"), none.alias("tags")),
+        region.select((r + 20_000_000).cast("long").alias("id"), box(r, F.lit(0), r + 1, F.lit(5)).alias("nodes"), none.alias("tags")),
+        read(spark, sf_dir, "supplier").select((s + 30_000_000).alias("id"), F.array(s, s + 1).alias("nodes"), text_("highway", "residential", "name", F.concat(F.lit("Road "), F.floor(s / 3).cast("string"))).alias("tags")),
+    ]
+    relations = nation.select(F.col("n_nationkey").cast("long").alias("id"), text_(*bound, "4", "ISO3166-2", F.concat(F.lit("C"), "n_regionkey", F.lit("-"), "n_nationkey"), "name", F.col("n_name")).alias("tags")).unionAll(
+        region.select((r + 100).cast("long").alias("id"), text_(*bound, "2", "ISO3166-1:alpha2", F.concat(F.lit("C"), "r_regionkey"), "name", F.col("r_name")).alias("tags"))
+    )
+    ref = F.when(F.col("id") < 100, F.col("id") + 10_000_000).otherwise(F.col("id") - 100 + 20_000_000)
+    return {
+        "nodes": points.select("id", F.col("y").alias("lat"), F.col("x").alias("lon")).join(described, "id").unionByName(corners), "ways": ways[0].unionAll(ways[1]).unionAll(ways[2]), "relations": relations,
+        "members": relations.select(F.col("id").alias("rel_id"), F.lit(0).alias("pos"), F.lit("way").alias("type"), ref.alias("ref"), F.lit("outer").alias("role")),
+    }
+
+
+def _imported(spark: SparkSession, sf_dir: str, admin_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    scores = read(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.concat(F.lit("Q"), "n_nationkey").alias("wikidata_id"), F.round(F.col("n_nationkey") / F.lit(20.0), 6).alias("importance"))
+    return ingest.places(_map(spark, sf_dir), "a.osm.pbf", importance=scores, admin_first=admin_first)
+
+
+def _imported_sql(admin_first: bool) -> str:
+    own = "true" if not admin_first else "layer NOT IN ('country', 'region')"
+    values = ("0.9", "1.0") if admin_first else ("0.01", "0.01")
+    return f"""WITH n AS ({_NATION}), c AS (SELECT c_custkey, c_name, c_nationkey, {_LON} AS x, {_LAT} AS y FROM customer),
+w AS (SELECT s_suppkey AS s, s_suppkey // 3 AS g, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS l, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y FROM supplier JOIN c a ON a.c_custkey = s_suppkey JOIN c b ON b.c_custkey = s_suppkey + 1),
+spots AS (SELECT 'node/' || c_custkey AS source_id, CASE c_custkey % 3 WHEN 0 THEN 'venue' WHEN 1 THEN 'locality' ELSE 'address' END AS layer, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_nationkey < 20 THEN c_nationkey / 20.0 ELSE 0.05 END WHEN 1 THEN 0.2 ELSE 0.01 END AS importance,
+  CASE c_custkey % 3 WHEN 2 THEN '' ELSE c_name END AS name_all, CASE c_custkey % 3 WHEN 0 THEN 'amenity:cafe' ELSE '' END AS categories, x, y FROM c
+UNION ALL SELECT 'way/' || (30000000 + min(s)), 'street', 0.1, 'Road ' || g, CASE WHEN count(*) > 1 THEN 'merged_ways:' || count(*) ELSE '' END, sum(l * x) / sum(l), sum(l * y) / sum(l) FROM w GROUP BY g
+UNION ALL SELECT 'relation/' || osm_id, 'region', {values[0]}, n_name, '', bx + 36, by_ + 18 FROM n JOIN nation ON n_nationkey = osm_id
+UNION ALL SELECT 'relation/' || (100 + r_regionkey), 'country', {values[1]}, r_name, '', r_regionkey * 72 - 144, 0 FROM region)
+SELECT source_id, layer, round(importance::DOUBLE, 6) AS importance, name_all, categories, CASE WHEN {own} OR layer = 'region' THEN 'relation/' || (100 + r_regionkey) END AS country, CASE WHEN {own} THEN 'relation/' || n.osm_id END AS region
+FROM spots LEFT JOIN region ON x > r_regionkey * 72 - 180 AND x < r_regionkey * 72 - 108 LEFT JOIN n ON x > bx AND x < bx + 72 AND y > by_ AND y < by_ + 36"""
+
+
+def _with_parents(places: DataFrame) -> DataFrame:
+    return places.select("source_id", "layer", F.round("importance", 6).alias("importance"), "name_all", F.array_join("categories", "|").alias("categories"), *[F.try_element_at("parents", F.lit(x)).alias(x) for x in ("country", "region")])
+
+
+@query("ingest_places", _imported_sql(False))
+def _(spark, sf_dir):
+    return _with_parents(_imported(spark, sf_dir)[0])
+
+
+@query("ingest_places_areas_first", _imported_sql(True))
+def _(spark, sf_dir):
+    return _with_parents(_imported(spark, sf_dir, admin_first=True)[0])
+
+
+@query("index_documents", f"""SELECT source_id AS id, name_all, importance, r.r_name AS country, n.n_name AS region FROM ({SQL["ingest_places"]}) LEFT JOIN region r ON country = 'relation/' || (100 + r.r_regionkey) LEFT JOIN nation n ON region = 'relation/' || n.n_nationkey""")
+def _(spark, sf_dir):
+    places, areas = _imported(spark, sf_dir)
+    return service.searchable(places, ingest.content_areas(areas)).select("id", "name_all", F.round("importance", 6).alias("importance"), "country", "region")
+
+
+@query("admin_areas", """SELECT n_nationkey AS osm_id, CASE n_nationkey % 5 WHEN 0 THEN 'country' WHEN 1 THEN 'region' ELSE 'locality' END AS level, n_name AS name, CASE n_nationkey % 5 WHEN 0 THEN 'us' WHEN 3 THEN 'DE' END AS abbr,
+CASE n_nationkey % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' ELSE 'DE' END AS code, (CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 1 END)::INTEGER AS n_names, 2592.0::DOUBLE AS area, (n_regionkey * 72 - 108)::DOUBLE AS max_lon FROM nation WHERE n_nationkey % 5 IN (0, 1, 3)""")
+def _(spark, sf_dir):
+    key, name = F.col("n_nationkey"), F.col("n_name")
+    both = lambda kind, level, *more: F.create_map(*[x if isinstance(x, Column) else F.lit(x) for x in ("type", kind, "boundary", "administrative", "admin_level", level, *more)])
+    t = (
+        F.when(key % 5 == 0, both("boundary", "2", "ISO3166-1", "US", "ISO3166-1:alpha3", "USA", "short_name", "us", "name", name, "name:de", "D"))
+        .when(key % 5 == 1, both("multipolygon", "4", "ISO3166-2", "CA-X", "name:fr", name))
+        .when(key % 5 == 2, both("boundary", "2", "name", name))
+        .when(key % 5 == 3, both("boundary", "8", "ISO3166-1:alpha2", "DE", "name", name))
+        .otherwise(both("boundary", "6"))
+    )
+    shapes = _nations(spark, sf_dir).select(F.col("osm_id").alias("rel_id"), F.array("ring").alias("rings"))
+    areas = boundaries.admin_areas(read(spark, sf_dir, "nation").select(key.alias("id"), t.alias("tags")), shapes)
+    return areas.select("osm_id", "level", "name", "abbr", "code", F.size("names").alias("n_names"), F.round("area", 6).alias("area"), F.col("bbox.max_x").alias("max_lon"))
+
+
+@query("pip_at_level", f"SELECT id, min(osm_id) AS osm_id FROM ({_POINT}) p, ({_NATION}) n WHERE abs(x - bx - 36) / 36 + abs(y - by_ - 18) / 18 < 1 - 1e-12 AND osm_id % 2 = 0 GROUP BY id")
+def _(spark, sf_dir):
+    nations = _nations(spark, sf_dir, diamond=True).withColumn("level", F.when(F.col("osm_id") % 2 == 0, "region").otherwise("county"))
+    return spatial.at_level(_points(spark, sf_dir), nations, "region")
+
+
+@query("sanitize_bbox", """WITH b AS (SELECT event_id AS id, value * 5 - 100 AS a, value * 3 - 95 AS b FROM events), c AS (SELECT id, least(greatest(a, -180), 180) AS x, least(greatest(b, -90), 90) AS y FROM b)
+SELECT id, round(least(x, 10), 6) AS min_x, round(greatest(x, 10), 6) AS max_x, round(least(y, 5), 6) AS min_y, round(greatest(y, 5), 6) AS max_y FROM c""")
+def _(spark, sf_dir):
+    v = F.col("value")
+    box = F.struct((v * 5 - 100).alias("min_x"), F.lit(5.0).alias("min_y"), F.lit(10.0).alias("max_x"), (v * 3 - 95).alias("max_y"))
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tags.clean_box(box).alias("b"))
+    return rows.select("id", *[F.round(F.col("b")[n], 6).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")])
+
+
+@query("wipe_region_lookup", f"SELECT event_id FROM events WHERE {_FILE} <> 'alps.osm'")
+def _(spark, sf_dir):
+    return tables.without_region(_files(spark, sf_dir), "THE ALPS", [("Alps", "http://host/b.osm.pbf"), ("The Alps", "http://host/alps.osm.pbf")]).select("event_id")
+
+
+@query("tag_filter_referenced", """WITH r(id) AS (VALUES (0), (1), (2)), w AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderkey % 50 = 7 OR o_orderkey % 100 < 3)
+SELECT 'relation' AS kind, id::BIGINT AS id FROM r UNION ALL SELECT 'way', id FROM w UNION ALL
+SELECT 'node', c_custkey FROM customer WHERE c_custkey % 11 = 0 OR c_custkey IN (SELECT o_custkey FROM w) OR c_custkey IN (SELECT o_custkey + 1 FROM w)""")
+def _(spark, sf_dir):
+    key, order, one = F.col("n_nationkey").cast("long"), F.col("o_orderkey"), lambda test, k, v: F.when(test, F.create_map(F.lit(k), F.lit(v))).otherwise(F.create_map().cast("map<string,string>"))
+    orders = read(spark, sf_dir, "orders")
+    member = lambda rel, kind, ref: [rel.cast("long").alias("rel_id"), F.lit(0).alias("pos"), F.lit(kind).alias("type"), ref.cast("long").alias("ref"), F.lit("").alias("role")]
+    inner = read(spark, sf_dir, "nation").where("n_nationkey < 2").select(*member(key, "relation", key + 1))
+    objects = {
+        "nodes": read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), one(F.col("c_custkey") % 11 == 0, "amenity", "bar").alias("tags")),
+        "ways": orders.select(order.alias("id"), F.array("o_custkey", F.col("o_custkey") + 1).alias("nodes"), one(order % 50 == 7, "highway", "path").alias("tags")),
+        "relations": read(spark, sf_dir, "nation").select(key.alias("id"), one(key == 0, "place", "city").alias("tags")),
+        "members": orders.where(order % 100 < 25).select(*member(order % 100, "way", order)).unionAll(inner),
+    }
+    kept = files.with_referenced(objects, ["r/place", "w/highway=path", "n/amenity"])
+    return kept["relations"].select(F.lit("relation").alias("kind"), "id").unionAll(kept["ways"].select(F.lit("way"), "id")).unionAll(kept["nodes"].select(F.lit("node"), "id"))
+
+
+@query("synonym_faults", """SELECT p_name AS file, p_partkey::INTEGER AS line, unnest(CASE p_partkey % 5 WHEN 0 THEN ['punctuation', 'upper case'] WHEN 1 THEN ['one word only'] WHEN 2 THEN ['repeated word'] WHEN 3 THEN ['word of several', 'replacement'] ELSE []::VARCHAR[] END) AS fault FROM part""")
+def _(spark, sf_dir):
+    lines = F.array(*[F.lit(x) for x in ("St., str", "street", "a, a # twice", "new york => ny", "# nothing")])
+    rows = read(spark, sf_dir, "part").select(F.col("p_name").alias("file"), F.col("p_partkey").cast("int").alias("line"), F.get(lines, (F.col("p_partkey") % 5).cast("int")).alias("text"))
+    return files.synonym_faults(rows, ".&")
+
+
+# --- analyzers: positions are joined by spaces, the forms at one of them by bars
+
+_GRAMS = "array_to_string([substr({0}, 1, i) FOR i IN range(1, least(24, len({0})) + 1)], '|')"
+_ANALYZED = {
+    "index": ("Ｃafé, St/", "'café|cafe st ' || p_name"),
+    "admin": ("Ｃafé, St/", "'café|cafe st ' || p_name"),
+    "query": ("Ｃafé St ", "'café|cafe st|street|str ' || p_name"),
+    "street": ("22nd Ave ", "'22 avenue|ave|av ' || p_name"),
+    "grams": ("É ", f"'é|e ' || array_to_string([{_GRAMS.format('t')} FOR t IN string_split(p_name, ' ')], ' ')"),
+    "zip": ("ＡB-1 ", "'b1' || replace(p_name, ' ', '')"),
+}
+
+
+def _analysis(name: str, begin: str, sql: str) -> None:
+    @query(f"analyzer_{name}", f"SELECT p_partkey, {sql} AS forms FROM part")
+    def _(spark, sf_dir):
+        forms = text.analyzed(F.concat(F.lit(begin), "p_name"), name)
+        return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(forms, lambda x: F.array_join(x, "|")), " ").alias("forms"))
+
+
+for _name, (_begin, _sql) in _ANALYZED.items():
+    _analysis(_name, _begin, _sql)
+
+
+@query("canonical_words", f"WITH syn(word, canonical) AS (VALUES {_PAIRS}) SELECT p_partkey, 'Old ' || coalesce(canonical, 'Alley') || ' ' || p_name AS normalized FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'av' WHEN 1 THEN 'rd' ELSE 'alley' END AS w FROM part) LEFT JOIN syn ON word = w")
+def _(spark, sf_dir):
+    synonyms = spark.createDataFrame([(w, g[0]) for g in text.SYNONYMS for w in g], "token string, canonical string")
+    kind = F.col("p_partkey") % 3
+    words = F.concat(F.lit("Old "), F.when(kind == 0, "(AV.)").when(kind == 1, "Rd").otherwise("Alley"), F.lit("  "), F.col("p_name"))
+    return text.with_canonical(read(spark, sf_dir, "part").select("p_partkey", words.alias("t")), "t", synonyms).select("p_partkey", "normalized")
+
+
+_FIELD_TEXTS = {1: "Brand-12", 2: "brand#3 4", 3: "22 avenue", 4: "red"}
+
+
+@query("search_field_analyzers", """SELECT 1::BIGINT AS query_id, p_partkey AS id FROM part WHERE p_brand = 'Brand#12' UNION ALL SELECT 2, p_partkey FROM part WHERE p_brand = 'Brand#34'
+UNION ALL SELECT 3, p_partkey FROM part WHERE p_size % 2 = 0 UNION ALL SELECT 4, p_partkey FROM part WHERE regexp_matches(p_name, '(^| )red( |$)')""")
+def _(spark, sf_dir):
+    street = F.when(F.col("p_size") % 2 == 0, "22nd Ave").otherwise("21st Ave")
+    places = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name_all"), F.col("p_brand").alias("postcode"), street.alias("street"), F.lit(0.5).alias("importance"))
+    return search.search(_asked(spark, _FIELD_TEXTS), places, ["name_all", "street", "postcode"], size=1_000_000_000).select("query_id", "id")

@@ -7,6 +7,8 @@
 from __future__ import annotations
 
 import json
+import logging
+import time
 from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from cairnmap.functions import geo, tags, text
 from cairnmap.operators import results, search, spatial
 
+log = logging.getLogger(__name__)
+
 # Results a question by default and at most.
 SIZE, SEARCH_MAX, AUTOCOMPLETE_MAX = 10, 40, 20
 FIELDS = ["name_all", *tags.ADMIN_LAYERS]
@@ -94,18 +98,31 @@ class Geocoder:
             "/v1/search": lambda g: self._search(g, 1), "/v2/search": lambda g: self._search(g, 2), "/v1/autocomplete": lambda g: self._search(g, 1, AUTOCOMPLETE_MAX), "/v1/reverse": self._reverse,
         }
         if url.path == "/health":
-            return 200, {"status": "ok"}
+            return 200, self._health()
         if url.path not in routes:
             return 404, {"error": "no such path"}
         try:
             answer = routes[url.path](given)
         except (KeyError, ValueError) as e:
             return 400, {"error": f"missing or unreadable: {e}"}
+        begun = time.monotonic()
         try:
             rows = answer.orderBy("rank").collect()  # SEARCH_MAX twice at most
         except Exception as e:  # told to the client, as any other fault
             return 500, {"error": str(e).split("\n")[0]}
-        return 200, {"features": [json.loads(r["feature"]) for r in rows]}
+        # search and content are one plan here, so its time is the search's; a reverse question has no search
+        took = 0 if url.path == "/v1/reverse" else round(1000 * (time.monotonic() - begun))
+        return 200, {"features": [json.loads(r["feature"]) for r in rows], "es_took_ms": took, "scylla_took_ms": 0}
+
+    def _health(self) -> dict:
+        """``degraded`` if the stored index can't be read."""
+        try:
+            self.index.limit(1).collect()
+            well = True
+        except Exception:  # that it fails is the answer
+            log.exception("health")
+            well = False
+        return {"status": "ok" if well else "degraded", "elasticsearch": well}
 
     def _search(self, given: dict, version: int, most: int = SEARCH_MAX) -> DataFrame:
         number = lambda k: float(given[k]) if k in given else None

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnmap.functions import storage
+
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: What a synonym folder holds besides synonyms.
 SKIPPED_FILE, SKIPPED_FOLDER = "custom_name.txt", "punctuation"
@@ -66,6 +68,40 @@ def tag_filter(expressions: list[str], kind: Column, tags: Column) -> Column:
     return F.coalesce(reduce(or_, map(one, wanted), F.lit(False)), F.lit(False))
 
 
+def with_referenced(objects: dict[str, DataFrame], expressions: list[str]) -> dict[str, DataFrame]:
+    """``objects`` (nodes, ways, relations, members) that match ``tag_filter``, and what they refer to: members of relations, of relations among them, too, and nodes of ways."""
+    members = objects["members"]
+    matched = lambda kind: objects[f"{kind}s"].where(tag_filter(expressions, F.lit(kind), F.col("tags"))).select("id")
+    of = lambda owners, kind: members.where(F.col("type") == kind).join(owners.select(F.col("id").alias("rel_id")), "rel_id", "left_semi").select(F.col("ref").alias("id"))
+    storage.ensure_checkpoints(members.sparkSession)
+    wanted = newest = matched("relation").distinct().checkpoint()
+    while not newest.isEmpty():  # once a level of relations in relations
+        newest = of(newest, "relation").distinct().join(wanted, "id", "left_anti").checkpoint()
+        wanted = wanted.unionAll(newest)
+    ways = objects["ways"].join(matched("way").unionAll(of(wanted, "way")), "id", "left_semi")
+    nodes = matched("node").unionAll(of(wanted, "node")).unionAll(ways.select(F.explode("nodes").alias("id")))
+    return {
+        "nodes": objects["nodes"].join(nodes, "id", "left_semi"), "ways": ways, "relations": objects["relations"].join(wanted, "id", "left_semi"),
+        "members": members.join(wanted.select(F.col("id").alias("rel_id")), "rel_id", "left_semi"),
+    }
+
+
+def synonym_faults(lines: DataFrame, stripped: str = "") -> DataFrame:
+    """(file, line, fault) of lines of synonyms (file, line, text): what may not work as meant.
+
+    ``stripped``: characters that are taken away before words are indexed.  Lines that are empty or a remark have no fault.
+    """
+    marks = F.array(*[F.lit(x) for x in stripped]) if stripped else F.array().cast("array<string>")
+    words = F.transform(F.split("text", ",|=>"), lambda w: F.trim(F.translate(w, stripped, "")))
+    rules = {
+        "punctuation": F.exists(marks, lambda m: F.col("text").contains(m)), "upper case": F.lower("text") != F.col("text"), "one word only": F.size("words") == 1,
+        "repeated word": F.size(F.array_distinct("words")) < F.size("words"), "word of several": F.exists("words", lambda w: w.rlike(r"[\s,/\\-]")), "replacement": F.col("text").contains("=>"),
+    }
+    faults = F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()]))
+    clean = lines.withColumn("text", F.trim(F.regexp_replace("text", "#.*$", ""))).where("text <> ''").withColumn("words", words)
+    return clean.select("file", "line", F.explode(faults).alias("fault"))
+
+
 def regions(spark: SparkSession, path: str) -> DataFrame:
     """(name, url) of a TOML file's regions."""
     text = spark.read.text(path, wholetext=True).first()["value"]
