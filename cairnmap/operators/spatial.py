@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnmap.functions import geo
+from cairnmap.functions.storage import ensure_checkpoints
 
 
 def containing(points: DataFrame, boundaries: DataFrame, cell: float = 4.0) -> DataFrame:
@@ -55,20 +56,25 @@ def nearest(points: DataFrame, places: DataFrame, size: int = 10, layers: tuple[
     """(point_id, id, meters, rank): the nearest places of each point, exactly.
 
     A point takes the smallest grid cell around it that holds ``size`` places; these are at most two sides
-    away, so the places sought are in the cells within two sides of it.  Both steps are equi-joins on cells.
+    away, so the places sought are in the cells within two sides of it.  Both steps are equi-joins on cells,
+    the second one of the sizes that some point takes only.
     Points or places without coordinates have no partner.
     """
+    ensure_checkpoints(points.sparkSession)
     some = (places.where(F.col("layer").isin(*layers)) if layers else places).where("place_lat IS NOT NULL AND place_lon IS NOT NULL")
     columns = lambda side: round(360 / side)
     in_cell = lambda j, c, lat, lon: F.struct(F.lit(j).alias("level"), F.pmod(_cell(lon, 180, c), F.lit(columns(c))).alias("cx"), _cell(lat, 90, c).alias("cy"))
-    at = [in_cell(j, c, F.col("place_lat"), F.col("place_lon")) for j, c in enumerate(CELLS)]
-    placed = some.select("id", "place_lat", "place_lon", F.explode(F.array(*at)).alias("c")).select("id", "place_lat", "place_lon", "c.*")
-    full = placed.groupBy("level", "cx", "cy").agg(F.count("*").alias("n")).where((F.col("n") >= size) | (F.col("level") == 0))
+
+    def in_cells(levels) -> DataFrame:
+        at = F.array(*[in_cell(j, CELLS[j], F.col("place_lat"), F.col("place_lon")) for j in sorted(levels)] or [in_cell(0, CELLS[0], F.col("place_lat"), F.col("place_lon"))])
+        return some.select("id", "place_lat", "place_lon", F.explode(at).alias("c")).select("id", "place_lat", "place_lon", "c.*")
+
+    full = in_cells(range(len(CELLS))).groupBy("level", "cx", "cy").agg(F.count("*").alias("n")).where((F.col("n") >= size) | (F.col("level") == 0))
 
     asked = points.where("lat IS NOT NULL AND lon IS NOT NULL").select("point_id", "lat", "lon")
     own = [F.when((F.abs("lat") <= POLAR) | F.lit(c >= COARSE), in_cell(j, c, F.col("lat"), F.col("lon"))) for j, c in enumerate(CELLS)]
     tried = asked.select("point_id", "lat", "lon", F.explode(F.array_compact(F.array(*own))).alias("c")).select("point_id", "lat", "lon", "c.*")
-    taken = tried.join(full, ["level", "cx", "cy"]).groupBy("point_id", "lat", "lon").agg(F.max("level").alias("level"))
+    taken = tried.join(full, ["level", "cx", "cy"]).groupBy("point_id", "lat", "lon").agg(F.max("level").alias("level")).checkpoint()
 
     side = F.get(F.array(*[F.lit(c) for c in CELLS]), F.col("level"))
     reach = 2 * side + 1e-6
@@ -79,8 +85,8 @@ def nearest(points: DataFrame, places: DataFrame, size: int = 10, layers: tuple[
     up = F.sequence(_cell(F.greatest(F.col("lat") - reach, F.lit(-90.0)), 90, side), _cell(F.least(F.col("lat") + reach, F.lit(90.0)), 90, side))
     around = taken.withColumn("cy", F.explode(up)).withColumn("cx", F.explode(F.transform(across, lambda x: F.pmod(x, n))))
     meters = geo.haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"), geo.EARTH_M)
-    # at most one row a level of CELLS: places are sent by cell only at levels that some point takes
-    used = F.broadcast(taken.select("level").distinct())
-    pairs = around.join(placed.join(used, "level", "left_semi"), ["level", "cx", "cy"]).select("point_id", "id", F.round(meters, 6).alias("meters"))
+    levels = {r["level"] for r in taken.select("level").distinct().collect()}  # of CELLS, so 15 at most
+    # by sort-merge, as a side that is sent out whole would leave the distances to the few tasks of the points
+    pairs = around.hint("merge").join(in_cells(levels), ["level", "cx", "cy"]).select("point_id", "id", F.round(meters, 6).alias("meters"))
     order = Window.partitionBy("point_id").orderBy("meters", "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
