@@ -26,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import SPACE_CLASS, SPACES, documents, stored
+from cairnmap.llm.common import SPACE_CLASS, documents, stored
 
 SYMBOLS = "#*$%&|<>"
+WORD_CHAR = f"[^{SPACE_CLASS}]"
 BUCKETS = 8192
 DEVIATIONS = 4.0
 
@@ -38,6 +39,11 @@ def _tail(array: Column, start: int, size: Column) -> Column:
     return F.slice(array, start, F.greatest(size - (start - 1), F.lit(0)))
 
 
+def _left(other: str) -> Column:
+    """Characters of the text without the runs that a pattern matches; of a long text this keeps no list of matches."""
+    return F.char_length(F.regexp_replace("_t", other, ""))
+
+
 def with_words(docs: DataFrame) -> DataFrame:
     """Adds _t (text), _w (word hashes) and _g2 (bigram hashes)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -49,7 +55,7 @@ def with_words(docs: DataFrame) -> DataFrame:
 
 def with_base(docs: DataFrame, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    lines = F.filter(F.split(F.col("_t"), "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(F.col("_t"), "\n", -1), lambda x: x.rlike(WORD_CHAR))
     packed = F.transform(
         F.zip_with(F.slice("_g2", 1, F.greatest(F.size("_g2") - 1, F.lit(0))), _tail(F.col("_w"), 3, F.size("_w")), lambda a, b: F.xxhash64(a, b)),
         lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long")),
@@ -62,8 +68,8 @@ def with_base(docs: DataFrame, min_words: int = 50, max_repeat: int = 50) -> Dat
     place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1)
     return (
         docs.withColumn("n_words", F.size("_w").cast("long"))
-        .withColumn("word_chars", F.char_length(F.translate("_t", SPACES, "")).cast("long"))
-        .withColumn("n_symbols", (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long"))
+        .withColumn("word_chars", _left(f"[{SPACE_CLASS}]+").cast("long"))
+        .withColumn("n_symbols", _left(f"[^{SYMBOLS}]+").cast("long"))
         .withColumn("_lines", lines)
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("_bits", F.length(F.bin(F.size("_w").cast("long"))))
@@ -78,9 +84,7 @@ def with_base(docs: DataFrame, min_words: int = 50, max_repeat: int = 50) -> Dat
 def strict() -> Column:
     """Documents with room to spare: the default target.  It needs no other column than ``_t`` and ``_w``."""
     chars = F.greatest(F.char_length("_t"), F.lit(1))
-    symbols = F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS + "!", ""))
-    capitals = F.char_length("_t") - F.char_length(F.regexp_replace("_t", r"\p{Lu}", ""))
-    return (F.size("_w") >= 100) & (symbols * 500 <= chars) & (capitals * 10 <= chars) & (F.size(F.array_distinct("_w")) * 4 >= F.size("_w"))
+    return (F.size("_w") >= 100) & (_left(f"[^{SYMBOLS}!]+") * 500 <= chars) & (_left(r"\P{Lu}+") * 10 <= chars) & (F.size(F.array_distinct("_w")) * 4 >= F.size("_w"))
 
 
 def _ratio_sum(hashes: str, table: str, buckets: int) -> Column:
