@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on small tables with odd rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -712,6 +713,84 @@ def test_matches_sql(spark, query, sql):
     assert sorted(map(tuple, mine[sorted(mine)].values.tolist())) == sorted(map(tuple, want[sorted(want)].values.tolist()))
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder with documents and benchmark: two languages, copies, near copies, items with other numbers, texts without letters, a hot source."""
+    rng = random.Random(21)
+    stems = {"aa": ["stone", "river", "cold", "walks", "over", "house", "green", "seven", "paper", "light"], "bb": ["szyk", "drzewo", "zrywa", "przez", "czas", "krzak", "wiersz", "dzban", "rzeka", "mrozy"]}
+    word = lambda x: rng.choice(stems[x]) + rng.choice(["", "s", "ne", "ka", "lo"])
+    items = [" ".join([word("aa") for _ in range(9)] + ["12"] + [word("aa") for _ in range(rng.randint(3, 12))]) for _ in range(8)]
+    texts = [(" ".join(word(x) for _ in range(rng.randint(12, 60))), x) for x in rng.choices(["aa", "aa", "bb"], k=70)]
+    texts += [(t + " " + word(x), x) for t, x in texts[:12]] + texts[:6]
+    texts += [(f"{texts[i][0]} {item.replace('12', rng.choice(['12', '85']))}", "aa") for i, item in enumerate(items[:6], 20)]
+    texts += [(None, "aa"), ("", None), ("12 ! 7", "aa"), ("½ ½", None), (" ".join(["stone", "szyk"] * 6), None)]
+    rng.shuffle(texts)
+    docs = [(7 * i, t, x, rng.choice(["hot", "hot", "hot", "b", None]) if i > 2 else "tiny", len(t or "")) for i, (t, x) in enumerate(texts)]
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, docs, items
+
+
+def brute_accepted(docs):
+    counts = defaultdict(lambda: np.zeros(language_id.BUCKETS, np.int64))
+    for _, t, x, *_ in docs:
+        if x and (c := language_id.trigram_counts(t)) is not None:
+            counts[x] += c
+    model = language_id.fit(dict(sorted(counts.items())))
+    found = [(r, model.predict(r[1])) for r in docs]
+    return [r for r, (name, score, ambiguous) in found if name != "und" and not (ambiguous and score < 0.5)]
+
+
+def brute_mix(docs):
+    size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in docs}
+    sizes = defaultdict(int)
+    for r in docs:
+        sizes[r[3]] += size[r[0]]
+    names = sorted((k for k in sizes if k is not None)) + [None] * (None in sizes)
+    open_, left, target = {k: i % 3 + 1 for i, k in enumerate(names)}, float(sum(sizes.values())), {}
+    while open_:
+        share = {k: left * w / sum(open_.values()) for k, w in open_.items()}
+        over = [k for k in open_ if share[k] > 3 * sizes[k]]
+        for k in over or list(open_):
+            target[k] = 3 * sizes[k] if over else share[k]
+            left -= target[k]
+            del open_[k]
+    out = []
+    for r in docs:
+        rate = target[r[3]] / sizes[r[3]]
+        drawn = int(hashlib.md5(f"17:{r[0]}".encode()).hexdigest()[:8], 16) / 2**32 < rate - math.floor(rate)
+        out += [r] * ((math.floor(rate) + drawn) if size[r[0]] else 0)
+    return out
+
+
+def test_pipeline_matches_brute_force(spark, corpus):
+    import corpus_pipeline
+
+    folder, docs, items = corpus
+    links = lambda rows: brute_links([r[:2] for r in rows])
+    plain = [
+        brute_accepted,
+        lambda rows: [r for r in rows if links(rows)[r[0]][1] == r[0]],
+        lambda rows: [r for n, r in enumerate(rows) if n not in {t for t, _ in brute_found(items, [r[1] for r in rows], decontamination.WIDTH, decontamination.COVERAGE)}],
+        brute_mix,
+    ]
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    want = docs
+    for (name, stage), brute in zip(corpus_pipeline.STAGES, plain):
+        before, want = want, brute(want)
+        table = stored(stage(spark, table, folder), name)
+        assert table.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert Counter(map(tuple, table.collect())) == Counter(want), name
+        assert 0 < len(want) and Counter(want) != Counter(before), name
+    encode = packing.Tokenizer(open(packing.TOKENIZER, "rb").read())
+    got = Counter()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        ids = np.frombuffer(r.input_ids, "<u2")
+        got.update((d, *ids[s:e].tolist()) for d, s, e in zip(r.doc_ids, r.cu_seqlens, r.cu_seqlens[1:]))
+    assert got == Counter((r[0], *encode(r[1]).tolist(), packing.SEPARATOR) for r in want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
