@@ -20,12 +20,18 @@ stand verbatim.  An item shorter than ``width`` is one window of its own length.
 The benchmark may be as large as the documents.  Its windows are a table, and so
 are those windows of documents that pass a bitmap of at most 2 ** ``FILTER_BITS``
 bits (the only thing sent out); the two are joined by hash in one pass over the
-documents.  A window in more than ``OWN_ITEMS`` items, such as a shared line of
-instructions, is evidence only beside a window of the item's own: it makes no pair
-of document and item, but counts as cover of one.  An item without windows of its
-own is met by its rarest.  Items of the same words are one, and so are, for
-windows with placeholders, items of the same template; the least id stands for
-them (``item_classes``).  Pairs of document and item are then checked on the texts
+documents.  Windows in more than ``OWN_ITEMS`` items, such as a shared line of
+instructions, are shared wording.  Beside a window of the item's own they count as
+cover of the item.  By themselves they are matched once for all items that hold the
+same shared wording (a class, whose shortest item stands for it): a document that has
+it covers ``n_covered`` words, and each member of which that is at least ``coverage``
+is linked (``item_classes``), so that no pair is lost and none is written out for each
+item.  A class is met by its rarest windows, so many that those left cover less than
+``coverage`` of the shortest item; items of which shared wording can't cover so much
+have none.  An item without windows of its own is a class for itself.
+Items of the same words are one, and so are, for windows with placeholders, items of
+the same template (with the same things equal); the least id stands for
+them.  Pairs of document and item are then checked on the texts
 of just those documents, of which one with very many items is checked for
 ``GROUP_ITEMS`` items at a time.
 
@@ -285,42 +291,60 @@ def item_windows(c: Canonical, reading: Reading, width: int, shortest: int) -> I
 class Block:
     """Windows of some benchmark items, sorted by hash, per width and whether they are exact.
 
-    ``common`` has, of each item, the windows that many of the items hold: the
-    first place of the hash in its table, and the window's place and reading.
+    ``common`` has, of each item, its shared windows (their table, hash, place and
+    reading), which count near one of its own only, and ``shared`` their hashes.
+    ``reach`` is how far the places of a match may be shifted.
     """
 
     ids: list[int | None]
     items: list[Reading]
     tables: dict[tuple[int, bool], tuple[np.ndarray, ...]]
     common: list[list[tuple[tuple[int, bool], int, int, int]]]
-    own: list[bool]
+    shared: dict[tuple[int, bool], np.ndarray]
+    reach: list[int]
+    at: list[int]
 
 
-def block(items: list[tuple[int | None, str | None]], width: int, shortest: int) -> Block:
+def block(items: list[tuple[int | None, str | None]], width: int, shortest: int, shared: np.ndarray | None = None, alone: list[int | None] | None = None) -> Block:
+    """``shared``: (salted) hashes of the shared windows, else those in many of ``items``.
+
+    ``alone`` has the reach of those items of which only shared windows count.
+    """
     canon = Canon()
-    ids, readings, found = [], [], defaultdict(list)
-    for item, text in items:
+    ids, readings, found, reach, only, order_of = [], [], defaultdict(list), [], [], []
+    for place, (item, text) in enumerate(items):
         c = canonical([_lines(text)], canon)
         if not len(c.index):
             continue
         reading = c.words(canon, 0)
         for n, exact, at, keys, paths in item_windows(c, reading, width, shortest):
             found[n, exact].append((keys, np.full(len(at), len(ids), np.int64), at, paths))
+        far = alone[place] if alone else None
+        only.append(far is not None)
+        reach.append(max(1, len(reading.words) // 2 if far is None else far))
+        order_of.append(place)
         ids.append(item)
         readings.append(reading)
-    tables, common, own = {}, [[] for _ in ids], [False] * len(ids)
+    of_itself, lone, sorted_ = np.zeros(len(ids), bool), np.array(only, bool), {}
     for kind, parts in found.items():
         keys, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, (which, at, paths) = keys[order], (x[order] for x in rest)
-        first = np.searchsorted(keys, keys, "left")
-        many = np.searchsorted(keys, keys, "right") - first > OWN_ITEMS
-        for w, f, a, p in zip(*(x[many].tolist() for x in (which, first, at, paths)), strict=True):
+        if shared is None:
+            many = np.searchsorted(keys, keys, "right") - np.searchsorted(keys, keys, "left") > OWN_ITEMS
+        else:
+            many = np.isin(_salted(keys, *kind), shared)
+        of_itself[which[~many]] = True
+        sorted_[kind] = keys, which, at, paths, many
+    tables, common, hashes = {}, [[] for _ in ids], {}
+    for kind, (keys, which, at, paths, many) in sorted_.items():
+        cover = many & of_itself[which] & ~lone[which]
+        for w, f, a, p in zip(*(x[cover].tolist() for x in (which, keys, at, paths)), strict=True):
             common[w].append((kind, f, a, p))
-        for w in np.unique(which[~many]).tolist():
-            own[w] = True
-        tables[kind] = keys, which, at, paths
-    return Block(ids, readings, tables, common, own)
+        hashes[kind] = np.unique(keys[cover])
+        kept = ~cover & (many | ~lone[which])
+        tables[kind] = keys[kept], which[kept], at[kept], paths[kept]
+    return Block(ids, readings, tables, common, hashes, reach, order_of)
 
 
 def _aligned(item: Reading, mine: Reading, hits: list[tuple[int, int, int, int, int, bool]]) -> list[tuple]:
@@ -380,44 +404,39 @@ def matches(texts: list[list[list[str]]], b: Block, canon: Canon, coverage: floa
     """(text, item, windows, coverage, changed slots), texts and items by their place; of ``allowed`` pairs, if given."""
     c = canonical(texts, canon)
     found: dict[tuple[int, int], dict[int, list[tuple]]] = defaultdict(lambda: defaultdict(list))
-    shared: dict[tuple, list[tuple[int, int]]] = defaultdict(list)  # places of windows in many items
+    shared: dict[tuple, list[tuple[int, int]]] = defaultdict(list)  # places of shared windows
     for kind, (keys, which, at, paths) in b.tables.items():
         width, exact = kind
         place, mine, path = (exact_keys if exact else window_keys)(c, width)
-        lo = np.searchsorted(keys, mine, "left")
-        some = np.flatnonzero((lo < len(keys)) & (keys[np.minimum(lo, len(keys) - 1)] == mine)) if len(keys) else np.zeros(0, np.int64)
-        lo, hi = lo[some], np.searchsorted(keys, mine[some], "right")
-        text = np.searchsorted(c.starts, place[some], "right") - 1
-        for t, p, way, i, j in zip(text.tolist(), (place[some] - c.starts[text]).tolist(), path[some].tolist(), lo.tolist(), hi.tolist(), strict=True):
-            if j - i > OWN_ITEMS:
-                shared[t, kind, i].append((p, way))
+        for some, own in ((np.flatnonzero(np.isin(mine, b.shared[kind])) if len(b.shared[kind]) else (), False), (np.flatnonzero(np.isin(mine, keys)), True)):
+            if not len(some):
+                continue
+            text = np.searchsorted(c.starts, place[some], "right") - 1
+            where = text.tolist(), (place[some] - c.starts[text]).tolist(), path[some].tolist()
+            if not own:
+                for t, p, way, key in zip(*where, mine[some].tolist(), strict=True):
+                    shared[t, kind, key].append((p, way))
                 continue
-            for k in range(i, j):
-                pair = t, int(which[k])
-                if allowed is None or pair in allowed:
-                    a = int(at[k])
-                    found[pair][p - a].append((a, int(paths[k]), p, way, width, exact))
+            lo, hi = np.searchsorted(keys, mine[some], "left"), np.searchsorted(keys, mine[some], "right")
+            for t, p, way, i, j in zip(*where, lo.tolist(), hi.tolist(), strict=True):
+                for k in range(i, j):
+                    pair = t, int(which[k])
+                    if allowed is None or pair in allowed:
+                        a = int(at[k])
+                        found[pair][p - a].append((a, int(paths[k]), p, way, width, exact))
     for places in shared.values():
         places.sort()
-    if shared:  # items without windows of their own
-        nameless = [i for i, x in enumerate(b.own) if not x]
-        for t in {x[0] for x in shared} if nameless else ():
-            for i in nameless:
-                if allowed is None or (t, i) in allowed:
-                    found[t, i]  # noqa: B018
     best: dict[tuple[int, int], tuple[int, float, int]] = {}
     known: tuple = (None, None)
     for t, i in sorted(found):
         item, diagonals = b.items[i], found[t, i]
-        reach = max(1, len(item.words) // 2)
+        reach = b.reach[i]
         own = sorted(diagonals)
-        for kind, first, a, way in b.common[i]:
-            places = shared.get((t, kind, first), [])
-            if own:  # only those near a window of the item's own
-                places = places[bisect_left(places, (own[0] + a - reach,)) : bisect_left(places, (own[-1] + a + reach + 1,))]
-            for p, other in places:
+        for kind, key, a, way in b.common[i]:  # only those near a window of the item's own
+            places = shared.get((t, kind, key), [])
+            for p, other in places[bisect_left(places, (own[0] + a - reach,)) : bisect_left(places, (own[-1] + a + reach + 1,))]:
                 near = bisect_left(own, p - a - reach)
-                if not b.own[i] or (near < len(own) and own[near] <= p - a + reach):
+                if near < len(own) and own[near] <= p - a + reach:
                     diagonals[p - a].append((a, way, p, other, *kind))
         if known[0] != t:
             known = t, c.words(canon, t)
@@ -455,6 +474,18 @@ def _batch(cols: list, kinds: list[pa.DataType], names: list[str]) -> pa.RecordB
     return pa.record_batch([pa.array(c, k) for c, k in zip(cols or [()] * len(names), kinds, strict=True)], names)
 
 
+def _pattern(r: Reading) -> list[int]:
+    """Which things in the slots are the same, in any reading: two texts of one template and pattern are consistent with the same texts."""
+    first: dict[tuple[int, str], int] = {}
+    out = []
+    for i, (k, e) in enumerate(zip(r.kinds, r.ends, strict=True)):
+        k = NAME if r.free[i] else k
+        out += (e - i, r.free[i])
+        if k != LITERAL:
+            out += (first.setdefault((k, r.value(i, end)), len(first)) for end in {i + 1, e})
+    return out
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (item_id, text) with hashes of their words and kinds (i) and of their template (t); those without words go."""
     canon = Canon()
@@ -464,36 +495,115 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = canonical([_lines(text)], canon)
             if len(c.index):
                 template = c.keys.tobytes()
-                rows.append((item, text, *(xxhash.xxh3_64_intdigest(x) - 2**63 for x in (c.exact.tobytes() + template, template))))
-        yield _batch(list(zip(*rows, strict=True)), [pa.int64(), pa.string(), pa.int64(), pa.int64()], ["item_id", "text", "i", "t"])
+                alike = template + np.array(_pattern(c.words(canon, 0)), np.int64).tobytes()
+                rows.append((item, text, *(xxhash.xxh3_64_intdigest(x) - 2**63 for x in (c.exact.tobytes() + template, alike)), len(c.index)))
+        yield _batch(list(zip(*rows, strict=True)), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()], ["item_id", "text", "i", "t", "n_words"])
 
 
 def _all_windows(width: int, shortest: int):
+    """(key, i, n, exact, leads): windows with placeholders lead to those items only that stand for their template."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for b in batches:
             for i, stands, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 c = canonical([_lines(text)], canon)
                 for n, exact, _, keys, _ in item_windows(c, c.words(canon, 0), width, shortest):
-                    if exact or stands:
-                        key = np.unique(_salted(keys, n, exact))
-                        yield _batch([key, [i] * len(key), [n] * len(key), [exact] * len(key)], [pa.int64(), pa.int64(), pa.int32(), pa.bool_()], ["key", "i", "n", "exact"])
+                    key = np.unique(_salted(keys, n, exact))
+                    cols = [key, [i] * len(key), [n] * len(key), [exact] * len(key), [exact or stands] * len(key)]
+                    yield _batch(cols, [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()], ["key", "i", "n", "exact", "leads"])
 
     return run
 
 
-def _classes(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All items (item_id, i, t), and one row (item_id, text, i, t) for those of the same words."""
-    named = stored(benchmark.select("item_id", "text").mapInArrow(_named, "item_id long, text string, i long, t long"), "named")
-    least = F.min(F.struct(F.col("item_id").isNull().alias("nil"), "item_id", "text")).alias("x")
-    return named, named.groupBy("i", "t").agg(least).select("x.item_id", "x.text", "i", "t")
+def _shared_part(text: str, stands: bool, held: dict[int, int], canon: Canon, width: int, shortest: int, coverage: float) -> tuple[int, bool, list[int]] | None:
+    """Hash of the shared wording of an item, whether it has no windows of its own (exact or not), and the windows of which a text that covers enough has one."""
+    c = canonical([_lines(text)], canon)
+    r = c.words(canon, 0)
+    of: dict[int, set[int]] = defaultdict(set)
+    parts, kinds, own = [], set(), set()
+    for n, exact, at, keys, paths in item_windows(c, r, width, shortest):
+        for a, key, path in zip(at.tolist(), _salted(keys, n, exact).tolist(), paths.tolist(), strict=True):
+            kinds.add(exact)
+            if key in held:
+                of[key].update(range(a, r.parts(a, path, n)[-1][1]))
+                parts.append((n, exact, a, path))
+            else:
+                own.add(exact)
+    words = sorted(set().union(*of.values()))
+    enough = lambda some: len(some) / len(r.words) >= coverage
+    if not enough(words):
+        return None
+    left: set[int] = set()
+    leads = sorted(of, key=lambda k: (held[k], k))
+    while leads and not enough(left | of[leads[-1]]):
+        left |= of[leads.pop()]
+    first, whole = words[0], any(exact or stands for exact in kinds - own)
+    same_words = [(w - first, r.words[w], r.kinds[w], r.free[w], r.ends[w] - w) for w in words], sorted((n, e, a - first, p) for n, e, a, p in parts), r.words if whole else 0
+    return xxhash.xxh3_64_intdigest(repr(same_words).encode("utf-8", "surrogatepass")) - 2**63, whole, leads
+
+
+def _shared_parts(width: int, shortest: int, coverage: float):
+    """Rows (i, stands, text, often: key and held) with the class, if any, that the item is in."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon = Canon()
+        for b in batches:
+            rows = []
+            for i, stands, text, often in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = _shared_part(text, stands, {x["key"]: x["held"] for x in often}, canon, width, shortest, coverage)
+                if got:
+                    rows.append((i, *got))
+            yield _batch(list(zip(*rows, strict=True)), [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())], ["i", "c", "whole", "leads"])
 
-def item_classes(benchmark: DataFrame) -> DataFrame:
-    """item_id, same_words, same_template: the least id of the items of the same words and of the same template."""
-    named, items = _classes(benchmark)
-    least = items.groupBy("t").agg(F.min("item_id").alias("same_template"))
-    return named.select("item_id", "i", "t").join(items.select("i", F.col("item_id").alias("same_words")), "i").join(least, "t").select("item_id", "same_words", "same_template")
+    return run
+
+
+@dataclass
+class Benchmark:
+    """Tables of a benchmark: all items, one of the same words each, their windows, which are shared, and classes of shared wording."""
+
+    named: DataFrame
+    items: DataFrame
+    each: DataFrame
+    often: DataFrame
+    parts: DataFrame
+    classes: DataFrame
+
+
+def _least(*first: str):
+    return F.min(F.struct(*first, F.col("item_id").isNull().alias("nil"), "item_id", "i")).alias("x")
+
+
+def prepared(benchmark: DataFrame, width: int = WIDTH, shortest: int = SHORTEST, coverage: float = COVERAGE) -> Benchmark:
+    kinds = "item_id long, text string, i long, t long, n_words long"
+    named = stored(benchmark.select("item_id", "text").mapInArrow(_named, kinds), "named")
+    least = F.min(F.struct(F.col("item_id").isNull().alias("nil"), "item_id", "text", "n_words")).alias("x")
+    items = named.groupBy("i", "t").agg(least).select("x.item_id", "x.text", "x.n_words", "i", "t")
+    first = items.groupBy("t").agg(_least()).select("t", F.col("x.i").alias("first"))
+    items = stored(items.join(first, "t").select("i", "t", (F.col("i") == F.col("first")).alias("stands"), "item_id", "text", "n_words"), "items")
+    each = stored(items.select("i", "stands", "text").mapInArrow(_all_windows(width, shortest), "key long, i long, n int, exact boolean, leads boolean"), "windows")
+    often = stored(each.where("leads").groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > OWN_ITEMS), "often")
+    held = each.join(often, "key").groupBy("i").agg(F.collect_list(F.struct("key", "held")).alias("often"))
+    found = items.select("i", "stands", "text").join(held, "i").select("i", "stands", "text", "often").mapInArrow(_shared_parts(width, shortest, coverage), "i long, c long, whole boolean, leads array<long>")
+    parts = stored(found.join(items.select("i", "item_id", "n_words"), "i"), "shared")
+    stand = parts.groupBy("c").agg(_least("n_words"), F.max("n_words").alias("longest")).select(F.col("c").alias("_c"), F.col("x.i").alias("_i"), (F.col("longest") / 2).cast("long").alias("reach"))
+    classes = stored(parts.join(stand, (parts["c"] == stand["_c"]) & (parts["i"] == stand["_i"])).select("c", "i", "item_id", "whole", "leads", "reach"), "classes")
+    return Benchmark(named, items, each, often, parts, classes)
+
+
+def item_classes(benchmark: DataFrame | Benchmark, **limits) -> DataFrame:
+    """item_id, same_words, same_template, same_wording, n_words: the items that stand for each one.
+
+    The least ids of the items of the same words and of the same template, and the
+    shortest item of the same shared wording (null if that can't cover enough); of the
+    documents found by that, those whose n_covered is ``coverage`` of n_words hold the item.
+    """
+    b = benchmark if isinstance(benchmark, Benchmark) else prepared(benchmark, **limits)
+    least = b.items.where("stands").select("t", F.col("item_id").alias("same_template"))
+    wording = b.parts.select("i", "c").join(b.classes.where("not whole").select("c", F.col("item_id").alias("same_wording")), "c").drop("c")
+    words = b.items.select("i", F.col("item_id").alias("same_words"))
+    return b.named.select("item_id", "i", "t", "n_words").join(words, "i").join(least, "t").join(wording, "i", "left").select("item_id", "same_words", "same_template", "same_wording", "n_words")
 
 
 def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
@@ -532,13 +642,17 @@ def _verified(width: int, shortest: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for rows, texts in _chunks(batches):
-            items = sorted({(str(x["item_id"]), x["item_id"], x["text"]) for r in rows for x in r[2]}, key=str)
-            b = block([x[1:] for x in items], width, shortest)
+            known = {(str(x["item_id"]), x["item_id"], x["text"], x["reach"] is not None): x for r in rows for x in r[2]}
+            items = sorted(known, key=str)
+            often = np.unique(np.array([k for x in known.values() for k in x["often"] or ()], np.int64))
+            b = block([x[1:3] for x in items], width, shortest, often, [known[x]["reach"] for x in items])
             at = {x[1:]: i for i, x in enumerate(items)}
-            allowed = {(t, at[x["item_id"], x["text"]]) for t, r in enumerate(rows) for x in r[2]}
-            found = [(*rows[t][:2], b.ids[i], *v) for t, i, *v in matches(texts, b, canon, coverage, allowed)]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            yield _batch(list(zip(*found, strict=True)), kinds, ["doc_id", "row_key", "item_id", "n_windows", "coverage", "n_changed"])
+            allowed = {(t, at[x["item_id"], x["text"], x["reach"] is not None]) for t, r in enumerate(rows) for x in r[2]}
+            found = []
+            for t, i, used, part, changed in matches(texts, b, canon, coverage, allowed):
+                found.append((*rows[t][:2], b.ids[i], used, part, changed, round(part * len(b.items[i].words)), known[items[b.at[i]]]["shared"]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield _batch(list(zip(*found, strict=True)), kinds, ["doc_id", "row_key", "item_id", "n_windows", "coverage", "n_changed", "n_covered", "shared"])
 
     return run
 
@@ -547,50 +661,79 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def found_in_rows(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, row_key (a hash of the text), item_id, n_windows, coverage, n_changed, once for rows that repeat."""
+def found_in_rows(docs: DataFrame, benchmark: DataFrame | Benchmark, width: int = WIDTH, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, row_key (a hash of the text), item_id, n_windows, coverage, n_changed, n_covered, shared, once for rows that repeat.
+
+    ``shared``: by shared wording alone, the item standing for all of its class.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", row_key().alias("row_key"), "text")
-    items = _classes(benchmark)[1]
-    stands = items.groupBy("t").agg(F.min(F.struct(F.col("item_id").isNull(), "item_id", "i")).alias("x")).select("t", F.col("x.i").alias("first"))
-    items = stored(items.join(stands, "t").select("i", (F.col("i") == F.col("first")).alias("stands"), "item_id", "text"), "items")
-    each = stored(items.select("i", "stands", "text").mapInArrow(_all_windows(width, shortest), "key long, i long, n int, exact boolean"), "windows")
-    counted = each.join(each.groupBy("key").agg(F.count("*").alias("held")), "key")
-    least = counted.groupBy("i", "exact").agg(F.min("held").alias("least"))
-    leads = stored(counted.join(least, ["i", "exact"]).where(F.col("held") <= F.greatest("least", F.lit(OWN_ITEMS))).select("key", "i").distinct(), "leads")
-    kinds = sorted((r["n"], r["exact"]) for r in each.select("n", "exact").distinct().collect())
+    b = benchmark if isinstance(benchmark, Benchmark) else prepared(benchmark, width, shortest, coverage)
+    own = b.each.where("leads").join(b.often, "key", "left_anti").select("key", "i", F.lit(False).alias("alone")).distinct()
+    leads = stored(own.union(b.classes.select(F.explode("leads").alias("key"), "i", F.lit(True))), "leads")
+    kinds = sorted((r["n"], r["exact"]) for r in b.each.select("n", "exact").distinct().collect())
+    often = b.each.join(b.often, "key").groupBy("i").agg(F.collect_set("key").alias("often"))
+    entries = b.items.select("i", "item_id", "text").withColumn("alone", F.lit(False)).withColumn("shared", F.lit(False)).withColumn("reach", F.lit(None).cast("long"))
+    lone = b.classes.select("i", "reach", (~F.col("whole")).alias("shared")).join(b.items.select("i", "item_id", "text"), "i")
+    entries = entries.unionByName(lone.withColumn("alone", F.lit(True))).join(often, "i", "left")
 
     sent = spark.sparkContext.broadcast(_bitmap(leads, leads.count()))
     hits = docs.mapInArrow(trimmed(_hits(sent, kinds)), "key long, doc_id long, row_key long")
-    pairs = stored(hits.join(leads, "key").select("doc_id", "row_key", "i").distinct(), "pairs")
+    pairs = stored(hits.join(leads, "key").select("doc_id", "row_key", "i", "alone").distinct(), "pairs")
     groups = pairs.groupBy("doc_id", "row_key").agg(F.ceil(F.count("*") / GROUP_ITEMS).alias("groups")).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "groups")
     of_row = lambda left: same(left["doc_id"], groups["_d"]) & (left["row_key"] == groups["_k"])
-    dealt = pairs.join(groups, of_row(pairs)).withColumn("part", F.pmod(F.xxhash64("i"), F.col("groups")))
-    asked = dealt.join(items.select("i", "item_id", F.col("text").alias("item")), "i").groupBy("doc_id", "row_key", "part").agg(F.collect_list(F.struct("item_id", F.col("item").alias("text"))).alias("items"))
+    dealt = pairs.join(groups, of_row(pairs)).withColumn("part", F.pmod(F.xxhash64("i", "alone"), F.col("groups")))
+    asked = dealt.join(entries, ["i", "alone"]).groupBy("doc_id", "row_key", "part").agg(F.collect_list(F.struct("item_id", "text", "often", "shared", "reach")).alias("items"))
     asked = asked.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "items")
     wanted = stored(pairs.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct(), "wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, same(docs["doc_id"], wanted["_d"]) & (docs["row_key"] == wanted["_k"]), "left_semi")
     texts = texts.groupBy("doc_id", "row_key").agg(F.first("text").alias("text"))
     both = texts.join(asked, same(texts["doc_id"], asked["_d"]) & (texts["row_key"] == asked["_k"])).select("doc_id", "row_key", "items", "text")
-    return both.mapInArrow(trimmed(_verified(width, shortest, coverage)), "doc_id long, row_key long, item_id long, n_windows long, coverage double, n_changed long")
+    found = "doc_id long, row_key long, item_id long, n_windows long, coverage double, n_changed long, n_covered long, shared boolean"
+    return both.mapInArrow(trimmed(_verified(width, shortest, coverage)), found)
+
 
+def _best(found: DataFrame, *by: str) -> DataFrame:
+    values = "n_windows", "coverage", "n_changed", "n_covered"
+    best = F.max_by(F.struct(*values), F.struct("coverage", "n_windows", -F.col("n_changed")))
+    return found.groupBy("doc_id", "item_id", *by).agg(best.alias("x")).select("doc_id", "item_id", *(f"x.{v}" for v in values), *by)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """doc_id, item_id, n_windows, coverage, n_changed: the items found in each document.
+
+def contaminated(docs: DataFrame, benchmark: DataFrame | Benchmark, **limits) -> DataFrame:
+    """doc_id, item_id, n_windows, coverage, n_changed: the items found in each document, not by shared wording alone.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.
     """
-    best = F.max_by(F.struct("n_windows", "coverage", "n_changed"), F.struct("coverage", "n_windows", -F.col("n_changed")))
-    return found_in_rows(docs, benchmark, **limits).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")
+    return _best(found_in_rows(docs, benchmark, **limits).where("not shared")).drop("n_covered")
+
+
+def links(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
+    """All of it: the pairs of documents and items, and the members of the classes that items stand for.
+
+    doc_id, item_id, n_windows, coverage, n_changed, n_covered, by, member.  ``by`` is
+    `item`, or `shared` for pairs by shared wording alone.  Rows with a null doc_id, a
+    ``member`` and by `words`, `template` or `shared` say for which other items item_id
+    stands; one by `shared` is held by documents that cover at least its n_covered words.
+    """
+    b = prepared(benchmark, width, shortest, coverage)
+    found = _best(found_in_rows(docs, b, width, shortest, coverage), "shared").withColumn("by", F.when(F.col("shared"), "shared").otherwise("item"))
+    out = found.select("doc_id", "item_id", "n_windows", "coverage", "n_changed", "n_covered", "by", F.lit(None).cast("long").alias("member"))
+    for by in "words", "template", "wording":
+        some = item_classes(b).select(F.col("item_id").alias("member"), F.col(f"same_{by}").alias("stands"), "n_words")
+        some = some.where(~same(F.col("member"), F.col("stands")) & (F.col("stands").isNotNull() | F.lit(by != "wording")))
+        least = F.ceil(F.round(F.lit(coverage) * F.col("n_words"), 9)) if by == "wording" else F.lit(None)
+        null = F.lit(None).cast("long")
+        out = out.union(some.select(null, "stands", null, null.cast("double"), null, least.cast("long"), F.lit("shared" if by == "wording" else by), "member").distinct())
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The rows in whose text no item is found."""
+    """The rows in whose text no item is found, by shared wording alone or not."""
     found = stored(found_in_rows(docs, benchmark, **limits).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct(), "found")
     small = found.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(found) if small else found, same(docs["doc_id"], found["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_k"]), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return links(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

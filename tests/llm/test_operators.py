@@ -249,6 +249,43 @@ def test_decontamination_matches_all_pairs(spark):
     assert {k for k in want if first[items[k[1]]] == k[1] and held(k[1]) and stands[template(items[k[1]])] == k[1]} <= set(got)
 
 
+def test_decontamination_by_shared_wording_matches_all_pairs(spark):
+    # every window of a line is in more than OWN_ITEMS items; no capitals, numbers or units
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("bdfklm") + rng.choice("aeiou") for _ in range(3))
+    lines = [[word() for _ in range(n)] for n in (18, 24, 40)]
+    items = [" ".join(line + [word() for _ in range(rng.randint(1, 50))]) for line in lines for _ in range(14)]
+    items += [" ".join(lines[0] + lines[1])] + [" ".join(lines[2][:k]) for k in range(20, 39)]  # these have no windows of their own, or few
+    texts = [" ".join([word()] * 3 + line[a:b] + [word()] * 3) for line in lines for a, b in ((0, 99), (0, 12), (3, 15), (4, 99), (14, 30), (9, 40))]
+    texts += [" ".join(lines[1][:13] + [word()] + lines[1][13:]), " ".join(lines[2][:14] + [word()] * 25 + lines[2][14:]), items[0], items[20] + " " + items[30], "", texts[0]]
+    texts += [" ".join(word() for _ in range(30)) for _ in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = decontamination.links(docs, benchmark).collect()
+    members = defaultdict(list)
+    for r in out:
+        if r.by == "shared" and r.member is not None:
+            members[r.item_id].append((r.member, r.n_covered))
+    pairs = [r for r in out if r.member is None]
+    got = {(r.doc_id, r.item_id) for r in pairs} | {(r.doc_id, i) for r in pairs if r.by == "shared" for i, least in members[r.item_id] if r.n_covered >= least}
+    want = set(brute_found(items, texts, 8, 0.5))
+    assert got == want and len(pairs) < len(want)
+    alone = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert alone == {(r.doc_id, r.item_id) for r in pairs if r.by == "item"} and alone < want
+    kept = {r.doc_id for r in decontamination.clean(docs, benchmark).collect()}
+    assert kept == set(range(len(texts))) - {t for t, _ in want}
+
+
+def test_items_of_one_template_with_other_things_equal(spark):
+    items = ["the farmer sold 3 eggs and then bought 3 more from his neighbour", "the farmer sold 3 eggs and then bought 5 more from his neighbour", "the farmer sold 4 eggs and then bought 6 more from his neighbour"]
+    docs = spark.createDataFrame([(0, "so the farmer sold 7 eggs and then bought 9 more from his neighbour"), (1, "so the farmer sold 8 eggs and then bought 8 more from his neighbour")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontamination.contaminated(docs, benchmark).collect()}
+    assert got[0, 1] == 1 and got[1, 0] == 1
+    out = [r for r in decontamination.links(docs, benchmark).collect() if r.member is not None]
+    assert [(r.doc_id, r.item_id, r.by, r.member) for r in out] == [(None, 1, "template", 2)]
+
+
 def test_clean_decides_by_row(spark):
     item = "one two three four five six seven eight nine ten"
     data = [(1, "so " + item, "x"), (1, "nothing here", "y"), (None, item, "x"), (None, "nothing", "y"), (2, None, "x"), (1, "nothing here", "z")]
