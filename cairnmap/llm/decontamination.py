@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import documents, mixed, same, small_batches, stored, trimmed, windows
+from cairnmap.llm.common import byte_views, documents, mixed, same, small_batches, stored, trimmed, windows
 
 WIDTH, SHORTEST, COVERAGE = 8, 5, 0.5
 OWN_ITEMS, GROUP_ITEMS = 8, 4096
@@ -71,12 +71,31 @@ UNITS = frozenset(
     "s sec min h hr hrs second seconds minute minutes hour hours day days week weeks month months year years "
     "dollar dollars cent cents euro euros usd eur gbp percent degree degrees kmh mph".split()
 )
+#: What is known of a word: its kind, its kind if no line or sentence begins with it, whether it ends a sentence, is nothing but punctuation, ends in punctuation, or is a number without a sign of money.
+PROPERTIES = "kind", "as_name", "stops", "empty", "apart", "plain"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first bytes of eight.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _NUMBER = re.compile(r"[+\-]?[$€£]?[+\-]?\d+(?:[.,:/]\d+)*%?$")
 _MEASURE = re.compile(r"([+\-]?\d+(?:[.,]\d+)*)([a-z]+)$")
 _EDGES = re.compile(r"^[^\w$€£+\-]+|[^\w%]+$")
 _STOP = re.compile(r"[.!?:][\"')\]]*$")
 
 
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words in ``raw`` (bytes, then 8 of padding), eight bytes at a time."""
+    view = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
+    left = ends - starts
+    out = mixed((view[starts] & _BYTES[np.minimum(left, 8)]) ^ (left.astype(np.uint64) * _MIX))
+    some = np.flatnonzero(left > 8)
+    done = 8
+    while len(some):
+        out[some] = mixed(out[some] ^ (view[starts[some] + done] & _BYTES[np.minimum(left[some] - done, 8)]))
+        done += 8
+        some = some[left[some] > done]
+    return out
+
+
 class Canon(dict):
     """word -> its index in the arrays below; emptied between chunks when it is full."""
 
@@ -84,8 +103,9 @@ class Canon(dict):
         super().__init__()
         self.limit = limit
         self.bare: list[str] = []
-        self.fresh: list[tuple[int, int, bool, bool, bool, bool, int]] = []
-        self.table = np.zeros(limit, np.dtype([("kind", np.int8), ("as_name", np.int8), ("stops", bool), ("empty", bool), ("apart", bool), ("plain", bool), ("hash", np.uint64)]))
+        self.fresh: list[tuple[int, int, bool, bool, bool, bool]] = []
+        self.table = np.zeros(limit, [(x, np.int8 if x in ("kind", "as_name") else bool) for x in PROPERTIES])
+        self.hashes = np.zeros(limit, np.uint64)
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Indices of ``words``, whose properties are in ``table`` from now on."""
@@ -97,7 +117,11 @@ class Canon(dict):
             n = len(self.bare)
             if n > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros(n, self.table.dtype)])
+                self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+            new = [x.encode("utf-8", "surrogatepass") for x in self.bare[n - len(self.fresh) :]]
+            cuts = np.cumsum([0, *map(len, new)])
             self.table[n - len(self.fresh) : n] = self.fresh
+            self.hashes[n - len(self.fresh) : n] = word_hashes(np.frombuffer(b"".join(new) + bytes(8), np.uint8), cuts[:-1], cuts[1:])
             self.fresh.clear()
         return at
 
@@ -106,7 +130,7 @@ class Canon(dict):
         if word.isalpha() and word.islower():  # most words
             kind = UNIT if word in UNITS else LITERAL
             self.bare.append(word)
-            self.fresh.append((kind, kind, False, False, False, False, xxhash.xxh3_64_intdigest(word.encode())))
+            self.fresh.append((kind, kind, False, False, False, False))
             return i
         kind, stops = LITERAL, False
         if word.isalpha():
@@ -124,7 +148,7 @@ class Canon(dict):
         name = NAME if kind == LITERAL and low != bare and bare[:1] != low[:1] and bare[1:] == low[1:] else kind
         apart = not (word[-1].isalnum() or word[-1] in "%$€£")
         plain = kind == NUMBER and bare[-1].isdigit() and not any(c in bare for c in "$€£")
-        self.fresh.append((kind, name, stops, not bare, apart, plain, xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))))
+        self.fresh.append((kind, name, stops, not bare, apart, plain))
         return i
 
 
@@ -191,7 +215,7 @@ class Canonical:
 _SLOTS = mixed(np.arange(1, 5, dtype=np.uint64))
 #: How a word of a window is read: by its kind, as a name, or as one placeholder with those after it.
 ALONE, NAMED, JOINED = range(3)
-_STARTS, _MIX = 1 << 14, np.uint64(0x9E3779B97F4A7C15)
+_STARTS = 1 << 14
 
 
 def canonical(texts: list[list[list[str]]], canon: Canon) -> Canonical:
@@ -202,28 +226,96 @@ def canonical(texts: list[list[list[str]]], canon: Canon) -> Canonical:
     lines = [line for text in texts for line in text]
     words = [w for line in lines for w in line]
     at = canon.look_up(words)
-    table = canon.table
     begins = np.zeros(len(words) + 1, np.int64)
     begins[np.cumsum([0, *map(len, lines)])] = 1
-    stops = table["stops"][at]
-    ended = np.concatenate([[0], np.cumsum(stops)])  # before each word
-    begun = np.cumsum(begins)[: len(words)]  # up to each word
-    full = np.flatnonzero(~table["empty"][at])
-    before = np.concatenate([[-1], full])[:-1]
-    fresh = (begun[full] > np.where(before >= 0, begun[before], 0)) | (ended[full] > np.where(before >= 0, ended[before], 0))
-    index = at[full]
-    kind = np.where(fresh, table["kind"][index], table["as_name"][index])
-    free = fresh & (kind == LITERAL) & (table["as_name"][index] == NAME)
-    n = len(index)
+    table = canon.table[at]
+    cuts = np.cumsum([0, *(sum(map(len, text)) for text in texts)])
+    return _read({x: table[x] for x in PROPERTIES}, canon.hashes[at], np.cumsum(begins)[: len(words)], cuts, at)
+
+
+def _read(table: dict[str, np.ndarray], hashes: np.ndarray, begun: np.ndarray, cuts: np.ndarray, at: np.ndarray) -> Canonical:
+    """``begun`` tells words of different lines apart, ``cuts`` are the first words of the texts."""
+    ended = np.concatenate([[0], np.cumsum(table["stops"])])  # before each word
+    full = np.flatnonzero(~table["empty"])
+    begun, ended = begun[full], ended[full]
+    fresh = np.ones(len(full), bool)
+    if len(full):
+        fresh[1:] = (begun[1:] > begun[:-1]) | (ended[1:] > ended[:-1])
+    at, hashes, literal, as_name, apart, plain = (x[full] for x in (at, hashes, table["kind"], table["as_name"], table["apart"], table["plain"]))
+    kind = np.where(fresh, literal, as_name)
+    free = fresh & (kind == LITERAL) & (as_name == NAME)
+    n = len(at)
     joins = np.zeros(n, bool)  # with the next word
     if n:
-        near = ~table["apart"][index[:-1]] & ~fresh[1:]
+        near = ~apart[:-1] & ~fresh[1:]
         names = ((kind[:-1] == NAME) | free[:-1]) & (kind[1:] == NAME)
-        joins[:-1] = near & (names | (table["plain"][index[:-1]] & (kind[1:] == UNIT)))
+        joins[:-1] = near & (names | (plain[:-1] & (kind[1:] == UNIT)))
     last = np.where(joins, n, np.arange(n))
     run_ends = np.minimum.accumulate(last[::-1])[::-1] + 1
-    cuts = np.cumsum([0, *(sum(map(len, text)) for text in texts)])
-    return Canonical(index, kind, np.searchsorted(full, cuts), np.where(kind == LITERAL, table["hash"][index], _SLOTS[kind]), table["hash"][index], free, run_ends)
+    return Canonical(at, kind, np.searchsorted(full, cuts), np.where(kind == LITERAL, hashes, _SLOTS[kind]), hashes, free, run_ends)
+
+
+def _ascii(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACE, _END, _PAUSE, _UPPER = _ascii("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "), _ascii(".,;:!?"), _ascii(",;"), _ascii(_CAPITALS)
+#: The bytes of a word that are no letters, and 2 ** 32 for each capital; both are summed at once.
+_COUNTED = np.where(_UPPER, 1 << 32, ~_ascii(_CAPITALS + _CAPITALS.lower()))
+_LOW = np.arange(256, dtype=np.uint8) + np.uint8(32) * _UPPER
+_UNIT_BYTES = sorted(x.encode() for x in UNITS)
+_UNIT_CUTS = np.cumsum([0, *map(len, _UNIT_BYTES)])
+_UNIT_HASHES = np.sort(word_hashes(np.frombuffer(b"".join(_UNIT_BYTES) + bytes(8), np.uint8), _UNIT_CUTS[:-1], _UNIT_CUTS[1:]))
+
+
+def canonical_bytes(raw: np.ndarray, offsets: np.ndarray, canon: Canon) -> Canonical:
+    """What ``canonical`` says of texts in UTF-8, without indices of words.
+
+    Words of ASCII and Latin-1 letters, with one mark at the end or none, are read
+    all at once, others by ``canon``.
+    """
+    low = np.zeros(len(raw) + 8, np.uint8)
+    low[: len(raw)] = _LOW[raw]
+    space, counted = _SPACE[raw], _COUNTED[raw]
+    high = np.flatnonzero(raw >= 0xC2) if len(raw) and raw.max() >= 0xC2 else np.zeros(0, np.int64)
+    if len(high):
+        lead, second, third = raw[high], low[high + 1], low[high + 2]
+        letter = (lead == 0xC3) & (second != 0x97) & (second != 0xB7)
+        counted[high[letter]] = counted[high[letter] + 1] = 0
+        upper = high[letter & (second < 0x9F)]
+        counted[upper] = 1 << 32
+        low[upper + 1] += 32
+        wide = ((lead == 0xE2) & (((second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF))) | ((second == 0x81) & (third == 0x9F)))) | ((lead == 0xE1) & (second == 0x9A) & (third == 0x80)) | ((lead == 0xE3) & (second == 0x80) & (third == 0x80))
+        some = high[wide | ((lead == 0xC2) & ((second == 0x85) | (second == 0xA0)))]
+        space[some] = space[some + 1] = True
+        space[high[wide] + 2] = True
+    before, after = np.ones(len(raw), bool), np.ones(len(raw), bool)
+    before[1:], after[:-1] = space[:-1], space[1:]
+    before[offsets[:-1][offsets[:-1] < len(raw)]] = after[offsets[1:][offsets[1:] > 0] - 1] = True
+    space = ~space
+    starts, ends = np.flatnonzero(space & before), np.flatnonzero(space & after) + 1
+    sums = np.concatenate([[0], np.cumsum(counted)])
+    sums = sums[ends] - sums[starts]
+    others, final = sums & 0xFFFFFFFF, raw[ends - 1]
+    mark = _END[final] & (others == 1) & (ends - starts > 1)
+    hashes = word_hashes(low, starts, ends - mark)
+    unit = _UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)] == hashes
+    kind = np.where(unit, np.int8(UNIT), np.int8(LITERAL))
+    named = ~unit & (sums >> 32 == 1) & (counted[starts] == 1 << 32)
+    no = np.zeros(len(starts), bool)
+    table = dict(zip(PROPERTIES, (kind, np.where(named, np.int8(NAME), kind), mark & ~_PAUSE[final], no, mark, no.copy()), strict=True))
+    odd = np.flatnonzero((others != 0) & ~mark)
+    if len(odd):
+        data = raw.tobytes()
+        at = canon.look_up([data[i:j].decode("utf-8", "replace") for i, j in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+        hashes[odd] = canon.hashes[at]
+        for x in PROPERTIES:
+            table[x][odd] = canon.table[x][at]
+    begun = np.searchsorted(np.flatnonzero(raw == 10), starts) + np.searchsorted(offsets, starts, "right")
+    return _read(table, hashes, begun, np.searchsorted(starts, offsets), np.zeros(len(starts), np.int64))
 
 
 def window_keys(c: Canonical, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -465,6 +557,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: int = 100_000) -> Iterator
         yield rows, texts
 
 
+def _byte_chunks(batches: Iterator[pa.RecordBatch], size: int = 1 << 19) -> Iterator[tuple[list[pa.Array], np.ndarray, np.ndarray]]:
+    """All columns but the last, and the bytes and offsets of that, of some rows at a time: about ``size`` bytes, or one longer text."""
+    for batch in batches:
+        raw, offsets = byte_views(batch.columns[-1])
+        first = 0
+        while first < batch.num_rows:
+            end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1)
+            part = offsets[first : end + 1]
+            yield [x.slice(first, end - first) for x in batch.columns[:-1]], raw[part[0] : part[-1]], part - part[0]
+            first = end
+
+
 def _salted(keys: np.ndarray, n: int, exact: bool) -> np.ndarray:
     """Hashes of windows that differ by length and by whether they are exact."""
     return mixed(keys ^ mixed(np.array([2 * n + exact + 1], np.uint64))).view(np.int64)
@@ -622,8 +726,8 @@ def _hits(sent, kinds: list[tuple[int, bool]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, bitmap = Canon(), sent.value
         shift = np.uint64(64 - (len(bitmap).bit_length() + 5))
-        for rows, texts in _chunks(batches):
-            c = canonical(texts, canon)
+        for rows, raw, offsets in _byte_chunks(batches):
+            c = canonical_bytes(raw, offsets, canon)
             for n, exact in kinds:
                 place, keys, _ = (exact_keys if exact else window_keys)(c, n)
                 key = _salted(keys, n, exact)
@@ -631,7 +735,8 @@ def _hits(sent, kinds: list[tuple[int, bool]]):
                 some = np.flatnonzero(bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
                 text = np.searchsorted(c.starts, place[some], "right") - 1
                 pairs = sorted(set(zip(text.tolist(), key[some].tolist(), strict=True)))
-                yield _batch([[k for _, k in pairs], [rows[t][0] for t, _ in pairs], [rows[t][1] for t, _ in pairs]], [pa.int64()] * 3, ["key", "doc_id", "row_key"])
+                at = pa.array([t for t, _ in pairs], pa.int64())
+                yield pa.record_batch([pa.array([k for _, k in pairs], pa.int64()), *(x.take(at) for x in rows)], ["key", "doc_id", "row_key"])
 
     return run
 

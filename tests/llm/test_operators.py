@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cairnmap.llm import decontamination, language_id, line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup
-from cairnmap.llm.common import stored
+from cairnmap.llm.common import byte_views, stored
 from cairnmap.llm.suffix_merge import front_coded, merged, shared_rows
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, size long, node long"
@@ -156,6 +156,18 @@ def test_decontamination_of_verbatim_placeholders_and_short_items():
     assert {k for k, v in got.items() if v[1] == 1} == set(got) == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_reading_of_bytes_matches_reading_of_words(docs):
+    rng = random.Random(6)
+    pieces = list("abzAZ09 \n\t\r\x0b\x1c\x1f.,;:!?'\"()-$€£%éÉñÑßÿŸ×÷µºİKœ中—\x85\xa0     　​😀́Àþ")
+    pieces += ["kg", "5 kg", "Kg.", "Tom", "Tom Lee", "5", "3.5%", " ", "hours", "Ünder", "...", "é.", "longwordoverfoureight", "Exactlyeightxx", "eightlet"]
+    samples = [[None if rng.random() < 0.05 else "".join(rng.choice(pieces) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 25))) for _ in range(rng.randint(0, 5))] for _ in range(400)]
+    for texts in [*samples, [r.text for r in docs.collect()]]:
+        want = decontamination.canonical([decontamination._lines(x) for x in texts], decontamination.Canon())
+        got = decontamination.canonical_bytes(*byte_views(pa.array(texts, pa.string())), decontamination.Canon())
+        for name in ("kind", "starts", "keys", "exact", "free", "ends"):
+            assert np.array_equal(getattr(got, name), getattr(want, name)), (name, texts)
+
+
 def test_window_readings_match_every_choice():
     import itertools
 
