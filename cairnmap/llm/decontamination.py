@@ -697,17 +697,17 @@ def prepared(benchmark: DataFrame, width: int = WIDTH, shortest: int = SHORTEST,
 
 
 def item_classes(benchmark: DataFrame | Benchmark, **limits) -> DataFrame:
-    """item_id, same_words, same_template, same_wording, n_words: the items that stand for each one.
+    """item_id, same_words, same_template, same_wording, wording, n_words: the items that stand for each one.
 
     The least ids of the items of the same words and of the same template, and the
-    shortest item of the same shared wording (null if that can't cover enough); of the
-    documents found by that, those whose n_covered is ``coverage`` of n_words hold the item.
+    shortest item of the same shared wording and its class (null if that can't cover enough); of the
+    documents found by that class, those whose n_covered is ``coverage`` of n_words hold the item.
     """
     b = benchmark if isinstance(benchmark, Benchmark) else prepared(benchmark, **limits)
     least = b.items.where("stands").select("t", F.col("item_id").alias("same_template"))
-    wording = b.parts.select("i", "c").join(b.classes.where("not whole").select("c", F.col("item_id").alias("same_wording")), "c").drop("c")
+    wording = b.parts.select("i", "c").join(b.classes.where("not whole").select("c", F.col("item_id").alias("same_wording")), "c").withColumnRenamed("c", "wording")
     words = b.items.select("i", F.col("item_id").alias("same_words"))
-    return b.named.select("item_id", "i", "t", "n_words").join(words, "i").join(least, "t").join(wording, "i", "left").select("item_id", "same_words", "same_template", "same_wording", "n_words")
+    return b.named.select("item_id", "i", "t", "n_words").join(words, "i").join(least, "t").join(wording, "i", "left").select("item_id", "same_words", "same_template", "same_wording", "wording", "n_words")
 
 
 def _bitmap(keys: DataFrame, n: int) -> np.ndarray:
@@ -755,9 +755,9 @@ def _verified(width: int, shortest: int, coverage: float):
             allowed = {(t, at[x["item_id"], x["text"], x["reach"] is not None]) for t, r in enumerate(rows) for x in r[2]}
             found = []
             for t, i, used, part, changed in matches(texts, b, canon, coverage, allowed):
-                found.append((*rows[t][:2], b.ids[i], used, part, changed, round(part * len(b.items[i].words)), known[items[b.at[i]]]["shared"]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield _batch(list(zip(*found, strict=True)), kinds, ["doc_id", "row_key", "item_id", "n_windows", "coverage", "n_changed", "n_covered", "shared"])
+                found.append((*rows[t][:2], b.ids[i], used, part, changed, round(part * len(b.items[i].words)), known[items[b.at[i]]]["wording"]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            yield _batch(list(zip(*found, strict=True)), kinds, ["doc_id", "row_key", "item_id", "n_windows", "coverage", "n_changed", "n_covered", "wording"])
 
     return run
 
@@ -767,9 +767,9 @@ def row_key(text: str = "text"):
 
 
 def found_in_rows(docs: DataFrame, benchmark: DataFrame | Benchmark, width: int = WIDTH, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, row_key (a hash of the text), item_id, n_windows, coverage, n_changed, n_covered, shared, once for rows that repeat.
+    """doc_id, row_key (a hash of the text), item_id, n_windows, coverage, n_changed, n_covered, wording, once for rows that repeat.
 
-    ``shared``: by shared wording alone, the item standing for all of its class.
+    ``wording`` is the class of those found by shared wording alone (else null), for all of which the item stands.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -779,8 +779,8 @@ def found_in_rows(docs: DataFrame, benchmark: DataFrame | Benchmark, width: int
     leads = stored(own.union(b.classes.select(F.explode("leads").alias("key"), "i", F.lit(True))), "leads")
     kinds = sorted((r["n"], r["exact"]) for r in b.each.select("n", "exact").distinct().collect())
     often = b.each.join(b.often, "key").groupBy("i").agg(F.collect_set("key").alias("often"))
-    entries = b.items.select("i", "item_id", "text").withColumn("alone", F.lit(False)).withColumn("shared", F.lit(False)).withColumn("reach", F.lit(None).cast("long"))
-    lone = b.classes.select("i", "reach", (~F.col("whole")).alias("shared")).join(b.items.select("i", "item_id", "text"), "i")
+    entries = b.items.select("i", "item_id", "text").withColumn("alone", F.lit(False)).withColumn("wording", F.lit(None).cast("long")).withColumn("reach", F.lit(None).cast("long"))
+    lone = b.classes.select("i", "reach", F.when(~F.col("whole"), F.col("c")).alias("wording")).join(b.items.select("i", "item_id", "text"), "i")
     entries = entries.unionByName(lone.withColumn("alone", F.lit(True))).join(often, "i", "left")
 
     sent = spark.sparkContext.broadcast(_bitmap(leads, leads.count()))
@@ -789,13 +789,13 @@ def found_in_rows(docs: DataFrame, benchmark: DataFrame | Benchmark, width: int
     groups = pairs.groupBy("doc_id", "row_key").agg(F.ceil(F.count("*") / GROUP_ITEMS).alias("groups")).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "groups")
     of_row = lambda left: same(left["doc_id"], groups["_d"]) & (left["row_key"] == groups["_k"])
     dealt = pairs.join(groups, of_row(pairs)).withColumn("part", F.pmod(F.xxhash64("i", "alone"), F.col("groups")))
-    asked = dealt.join(entries, ["i", "alone"]).groupBy("doc_id", "row_key", "part").agg(F.collect_list(F.struct("item_id", "text", "often", "shared", "reach")).alias("items"))
+    asked = dealt.join(entries, ["i", "alone"]).groupBy("doc_id", "row_key", "part").agg(F.collect_list(F.struct("item_id", "text", "often", "wording", "reach")).alias("items"))
     asked = asked.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "items")
     wanted = stored(pairs.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct(), "wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, same(docs["doc_id"], wanted["_d"]) & (docs["row_key"] == wanted["_k"]), "left_semi")
     texts = texts.groupBy("doc_id", "row_key").agg(F.first("text").alias("text"))
     both = texts.join(asked, same(texts["doc_id"], asked["_d"]) & (texts["row_key"] == asked["_k"])).select("doc_id", "row_key", "items", "text")
-    found = "doc_id long, row_key long, item_id long, n_windows long, coverage double, n_changed long, n_covered long, shared boolean"
+    found = "doc_id long, row_key long, item_id long, n_windows long, coverage double, n_changed long, n_covered long, wording long"
     return both.mapInArrow(trimmed(_verified(width, shortest, coverage)), found)
 
 
@@ -810,27 +810,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame | Benchmark, **limits) ->
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.
     """
-    return _best(found_in_rows(docs, benchmark, **limits).where("not shared")).drop("n_covered")
+    return _best(found_in_rows(docs, benchmark, **limits).where("wording is null")).drop("n_covered")
 
 
 def links(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shortest: int = SHORTEST, coverage: float = COVERAGE) -> DataFrame:
     """All of it: the pairs of documents and items, and the members of the classes that items stand for.
 
-    doc_id, item_id, n_windows, coverage, n_changed, n_covered, by, member.  ``by`` is
-    `item`, or `shared` for pairs by shared wording alone.  Rows with a null doc_id, a
-    ``member`` and by `words`, `template` or `shared` say for which other items item_id
-    stands; one by `shared` is held by documents that cover at least its n_covered words.
+    doc_id, item_id, n_windows, coverage, n_changed, n_covered, by, wording, member.  ``by``
+    is `item`, or `shared` for pairs by shared wording alone.  Rows with null doc_id and
+    n_windows, a ``member`` and by `words`, `template` or `shared` say for which other items item_id
+    stands; one by `shared` is held by documents that cover at least its n_covered words
+    of its ``wording``.
     """
     b = prepared(benchmark, width, shortest, coverage)
-    found = _best(found_in_rows(docs, b, width, shortest, coverage), "shared").withColumn("by", F.when(F.col("shared"), "shared").otherwise("item"))
-    out = found.select("doc_id", "item_id", "n_windows", "coverage", "n_changed", "n_covered", "by", F.lit(None).cast("long").alias("member"))
-    for by in "words", "template", "wording":
-        some = item_classes(b).select(F.col("item_id").alias("member"), F.col(f"same_{by}").alias("stands"), "n_words")
-        some = some.where(~same(F.col("member"), F.col("stands")) & (F.col("stands").isNotNull() | F.lit(by != "wording")))
-        least = F.ceil(F.round(F.lit(coverage) * F.col("n_words"), 9)) if by == "wording" else F.lit(None)
-        null = F.lit(None).cast("long")
-        out = out.union(some.select(null, "stands", null, null.cast("double"), null, least.cast("long"), F.lit("shared" if by == "wording" else by), "member").distinct())
-    return out
+    found = _best(found_in_rows(docs, b, width, shortest, coverage), "wording").withColumn("by", F.when(F.col("wording").isNotNull(), "shared").otherwise("item"))
+    null = F.lit(None).cast("long")
+    out = found.select("doc_id", "item_id", "n_windows", "coverage", "n_changed", "n_covered", "by", "wording", null.alias("member"))
+    classes = item_classes(b)
+    for by in "words", "template":
+        some = classes.where(~same(F.col("item_id"), F.col(f"same_{by}")))
+        out = out.union(some.select(null, f"same_{by}", null, null.cast("double"), null, null, F.lit(by), null, "item_id").distinct())
+    some = classes.where(F.col("wording").isNotNull() & ~same(F.col("item_id"), F.col("same_wording")))
+    least = F.ceil(F.round(F.lit(coverage) * F.col("n_words"), 9))
+    return out.union(some.select(null, "same_wording", null, null.cast("double"), null, least, F.lit("shared"), "wording", "item_id").distinct())
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:

@@ -277,9 +277,9 @@ def test_decontamination_by_shared_wording_matches_all_pairs(spark):
     members = defaultdict(list)
     for r in out:
         if r.by == "shared" and r.member is not None:
-            members[r.item_id].append((r.member, r.n_covered))
+            members[r.wording].append((r.member, r.n_covered))
     pairs = [r for r in out if r.member is None]
-    got = {(r.doc_id, r.item_id) for r in pairs} | {(r.doc_id, i) for r in pairs if r.by == "shared" for i, least in members[r.item_id] if r.n_covered >= least}
+    got = {(r.doc_id, r.item_id) for r in pairs} | {(r.doc_id, i) for r in pairs if r.by == "shared" for i, least in members[r.wording] if r.n_covered >= least}
     want = set(brute_found(items, texts, 8, 0.5))
     assert got == want and len(pairs) < len(want)
     alone = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark).collect()}
