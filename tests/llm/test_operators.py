@@ -736,6 +736,20 @@ def test_ratios_and_threshold_match_plain_loops(spark, docs, rows):
         assert r.kept == (not r.base_failed and r.score >= r.threshold)
 
 
+def test_ratio_table_holds_absent_buckets_without_a_join(spark, empty):
+    buckets = 512
+    few = spark.createDataFrame([(1, "one two three"), (2, "one two"), (3, None)], "doc_id long, text string")
+    table = quality_rules.ratio_table(few, F.size("_w") == 3, buckets)
+    # Rows are joined and sorted nowhere: each task of a sort would hold pages of its own, however few its rows.
+    assert not re.search("Join|Sort ", table._jdf.queryExecution().executedPlan().toString())
+    got = table.collect()[0]._ratio
+    flat = math.log(1 / (5 + buckets)) - math.log(1 / (8 + buckets))
+    once, twice = (math.log(2 / (5 + buckets)) - math.log(n / (8 + buckets)) for n in (2, 3))
+    want = [once] * 2 + [twice] * 3 + [flat] * (buckets - 5)
+    assert sorted(got) == pytest.approx(sorted(want))
+    assert quality_rules.ratio_table(empty, None, buckets).collect()[0]._ratio == [0.0] * buckets
+
+
 def test_rules_of_equal_scores_and_very_long_texts(spark):
     texts = [" ".join(f"w{i}" for i in range(60))] * 3 + ["a b " * 250_000, "z" * 3_000_000]
     got = quality_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.size("_w") == 60).orderBy("doc_id").collect()
