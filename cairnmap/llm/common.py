@@ -31,6 +31,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
+#: Rows that the Parquet reader holds at a time; with Spark's 4096, texts of 3,000 characters are arrays of over 10 MB, too much for a small executor.
+READ_ROWS = 256
+_READ_SETTING = "spark.sql.parquet.columnarReaderBatchSize"
+
+
+def small_reads(spark: SparkSession) -> None:
+    """Let the Parquet reader hold ``READ_ROWS`` rows at a time, unless the session asks for less."""
+    if int(spark.conf.get(_READ_SETTING)) > READ_ROWS:
+        spark.conf.set(_READ_SETTING, str(READ_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnmap.llm.common import SPACE_CLASS, documents, stored
+from cairnmap.llm.common import SPACE_CLASS, documents, small_reads, stored
 
 SYMBOLS = "#*$%&|<>"
 WORD_CHAR = f"[^{SPACE_CLASS}]"
@@ -108,6 +108,7 @@ def ratio_table(docs: DataFrame, trusted: Column | None = None, buckets: int = B
 
 def judged(docs: DataFrame, trusted: Column | None = None, buckets: int = BUCKETS, deviations: float = DEVIATIONS) -> DataFrame:
     """``docs`` (doc_id, text) with the base counts, score, threshold and kept."""
+    small_reads(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     table = ratio_table(docs, trusted, buckets).scalar()
     scored = with_words(docs).withColumn("_ratio", table).withColumn("_ok", strict() if trusted is None else trusted)

@@ -750,6 +750,18 @@ def test_ratio_table_holds_absent_buckets_without_a_join(spark, empty):
     assert quality_rules.ratio_table(empty, None, buckets).collect()[0]._ratio == [0.0] * buckets
 
 
+def test_quality_rules_read_few_rows_at_a_time(spark, docs):
+    setting = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(setting)
+    try:
+        for given, want in (("4096", "256"), ("64", "64")):
+            spark.conf.set(setting, given)
+            quality_rules.judged(docs)
+            assert spark.conf.get(setting) == want
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_rules_of_equal_scores_and_very_long_texts(spark):
     texts = [" ".join(f"w{i}" for i in range(60))] * 3 + ["a b " * 250_000, "z" * 3_000_000]
     got = quality_rules.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.size("_w") == 60).orderBy("doc_id").collect()
